@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import mixing, url_filter
+from . import mixing, substring_dedup, url_filter
 
 
 def _read(spark, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_substring_dedup(spark, sf_dir):
+    return substring_dedup.dedup(_read(spark, sf_dir, "documents")).drop("kept")
+
+
 def op6_mixing(spark, sf_dir):
     return mixing.mix(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
