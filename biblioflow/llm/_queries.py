@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import mixing, substring_dedup, url_filter
+from . import mixing, simhash, substring_dedup, url_filter
 
 
 def _read(spark, sf_dir: str, name: str):
@@ -23,6 +23,10 @@ def op8_url_filter(spark, sf_dir):
     return url_filter.judge(_read(spark, sf_dir, "pages")).drop("component")
 
 
+def op10_simhash(spark, sf_dir):
+    return simhash.dedup(_read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
