@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, simhash, substring_dedup, url_filter
+from . import decontaminate, embedding_dedup, language, mixing, simhash, substring_dedup, url_filter
 
 
 def _read(spark, sf_dir: str, name: str):
@@ -16,6 +16,10 @@ def op1_decontaminate(spark, sf_dir):
     return decontaminate.report(found).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op2_embedding_dedup(spark, sf_dir):
+    return embedding_dedup.dedup(_read(spark, sf_dir, "embeddings"))
+
+
 def op4_substring_dedup(spark, sf_dir):
     return substring_dedup.dedup(_read(spark, sf_dir, "documents")).drop("kept")
 
@@ -24,6 +28,14 @@ def op6_mixing(spark, sf_dir):
     return mixing.mix(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_language(spark, sf_dir):
+    docs = _read(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    model = language.fit(docs, ~held_out)
+    guess = language.identify(docs, model)
+    return docs.select("doc_id", held_out.alias("held_out"), guess.alias("x")).select("doc_id", "held_out", "x.lang_pred", "x.score")
+
+
 def op8_url_filter(spark, sf_dir):
     return url_filter.judge(_read(spark, sf_dir, "pages")).drop("component")
 
