@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, embedding_dedup, language, mixing, simhash, substring_dedup, url_filter
+from . import decontaminate, embedding_dedup, language, mixing, quality, simhash, substring_dedup, url_filter
 
 
 def _read(spark, sf_dir: str, name: str):
@@ -24,6 +24,14 @@ def op4_substring_dedup(spark, sf_dir):
     return substring_dedup.dedup(_read(spark, sf_dir, "documents")).drop("kept")
 
 
+def op5_quality(spark, sf_dir):
+    docs = _read(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
+    model = quality.fit(docs, _read(spark, sf_dir, "labels"), ~held_out)
+    scored = docs.select("doc_id", held_out.alias("held_out"), quality.score(docs, model).alias("score"))
+    return scored.withColumn("predicted", F.when(F.col("score") >= 0.3, 1).otherwise(0))
+
+
 def op6_mixing(spark, sf_dir):
     return mixing.mix(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._shared import release, table
 from ._words import A, B, join, mix, spans, text_chunks, windows, word_hashes
 
 
@@ -155,6 +156,8 @@ def dedup(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: s
     again = seeds.select("id", "p", "h").join(level1, F.col("h") == F.col("h_")).where("mixed or id > least")
     again = again.groupBy("id").agg(F.collect_list(F.when(F.col("mixed"), F.col("p"))).alias("open"), F.collect_list(F.when(~F.col("mixed"), F.col("p"))).alias("whole"))
     again = again.select(F.col("id").alias("id_"), F.when(F.size("open") > 0, F.col("open")).alias("open"), F.when(F.size("whole") > 0, F.col("whole")).alias("whole"))
+    again = table(again)
+    release(docs.sparkSession)  # the shuffles of all seeds are the largest; the next levels needn't share the disk with them
     texts = base.join(again, F.col("id") == F.col("id_"), "left")
     level2 = texts.select("id", "text", "open").mapInArrow(_extend(window, seed), f"id {kind}, p int, h bigint, w bigint")
     least = level2.groupBy("h", "w").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select(F.col("h").alias("h_"), F.col("w").alias("w_"), "least")
