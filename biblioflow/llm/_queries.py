@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, embedding_dedup, language, mixing, quality, simhash, substring_dedup, url_filter
+from . import decontaminate, embedding_dedup, language, mixing, quality, simhash, substring_dedup, url_filter, warc
 
 
 def _read(spark, sf_dir: str, name: str):
@@ -48,6 +48,10 @@ def op8_url_filter(spark, sf_dir):
     return url_filter.judge(_read(spark, sf_dir, "pages")).drop("component")
 
 
+def op9_warc(spark, sf_dir):
+    return warc.round_trip(_read(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op10_simhash(spark, sf_dir):
     return simhash.dedup(_read(spark, sf_dir, "documents"))
 
