@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, embedding_dedup, language, mixing, quality, simhash, substring_dedup, url_filter, warc
+from . import decontaminate, embedding_dedup, html_extract, language, mixing, quality, simhash, substring_dedup, url_filter, warc
 
 
 def _read(spark, sf_dir: str, name: str):
@@ -20,6 +20,10 @@ def op2_embedding_dedup(spark, sf_dir):
     return embedding_dedup.dedup(_read(spark, sf_dir, "embeddings"))
 
 
+def op3_html_extract(spark, sf_dir):
+    return html_extract.extract(_read(spark, sf_dir, "pages"))
+
+
 def op4_substring_dedup(spark, sf_dir):
     return substring_dedup.dedup(_read(spark, sf_dir, "documents")).drop("kept")
 
