@@ -25,7 +25,7 @@ def op3_html_extract(spark, sf_dir):
 
 
 def op4_substring_dedup(spark, sf_dir):
-    return substring_dedup.dedup(_read(spark, sf_dir, "documents")).drop("kept")
+    return substring_dedup.dedup(_read(spark, sf_dir, "documents")).drop("kept", "rest")
 
 
 def op5_quality(spark, sf_dir):
@@ -61,7 +61,9 @@ def op10_simhash(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
+    import corpus_pipeline
+
+    return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)} | {"pipeline": corpus_pipeline.run}
 
 
 OP1_SQL = r"""

@@ -117,7 +117,7 @@ def _ranges(mark: np.ndarray) -> list[int]:
     return np.flatnonzero(np.diff(np.concatenate([[False], mark, [False]]).astype(np.int8))).tolist()
 
 
-def _match(index, last: bool):
+def _match(index, last: bool):  # columns id, text, items, spans, rest
     """Adds a block's marks to those of the blocks before; the last one drops the text and sums up."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,11 +131,11 @@ def _match(index, last: bool):
                 rows.append((items, _merged([spans, _ranges(mark)]) if spans else _ranges(mark), len(numbers)))
             items, spans = pa.array([r[0] for r in rows], pa.list_(pa.string())), pa.array([r[1] for r in rows], pa.list_(pa.int64()))
             if not last:
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), items, spans], ["id", "text", "items", "spans"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), items, spans, batch.column(4)], ["id", "text", "items", "spans", "rest"])
                 continue
             n_hit = [sum(r[1][1::2]) - sum(r[1][::2]) for r in rows]
             digests = [hashlib.sha256(",".join(r[0]).encode()).hexdigest() for r in rows]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r[2] for r in rows], pa.int64()), pa.array(n_hit, pa.int64()), items, pa.array(digests, pa.string()), spans], ["id", "n_words", "n_hit", "items", "items_sha256", "spans"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r[2] for r in rows], pa.int64()), pa.array(n_hit, pa.int64()), items, pa.array(digests, pa.string()), spans, batch.column(4)], ["id", "n_words", "n_hit", "items", "items_sha256", "spans", "rest"])
 
     return run
 
@@ -151,7 +151,7 @@ def _merged(spans) -> list[int]:
     return out
 
 
-def find(docs: DataFrame, benchmark: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_words: int | None = None) -> DataFrame:
+def find(docs: DataFrame, benchmark: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_words: int | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
     """Words of documents inside occurrences of benchmark windows.
 
     A window is `window` consecutive words of an item (all of a shorter item). Windows are sets of five-word shingles, ordered by
@@ -163,7 +163,8 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = 13, id_col: str =
 
     Null and empty texts have no words and hit nothing; items without words have no window; equal items are all named.
     Repeated document rows are judged each. Empty tables give no rows, or no hits. Only the named columns are read.
-    Returns (id, n_words, n_hit, items, items_sha256, spans): spans are starts and ends of the runs of words hit, in turn.
+    Returns (id, n_words, n_hit, items, items_sha256, spans, rest): spans are starts and ends of the runs of words hit, in turn; rest is a
+    struct of the columns named in `carry`, which ride along.
     """
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
@@ -171,15 +172,17 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = 13, id_col: str =
     total = bench.agg(F.sum(F.length("t"))).first()[0] or 0
     blocks = max(1, -(-total // (6 * (block_words or BLOCK_WORDS))))
     block_of = F.pmod(F.xxhash64("item", "t"), F.lit(blocks))
-    base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    rows = base.select("id", "text", F.array().cast("array<string>").alias("items"), F.array().cast("array<bigint>").alias("spans"))
+    rest = F.struct(*[F.col(c) for c in carry]) if carry else F.lit(None).cast("int")
+    base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), rest.alias("rest"))
+    rest_type = base.schema["rest"].dataType.simpleString()
+    rows = base.select("id", "text", F.array().cast("array<string>").alias("items"), F.array().cast("array<bigint>").alias("spans"), "rest")
     for k in range(blocks):
         index = Index([tuple(r) for r in bench.where(block_of == k).collect()], window)
         sent = spark.sparkContext.broadcast(index)
         counted = base.select("text").mapInArrow(_count(sent), "n int, k bigint, c bigint").groupBy("n", "k").agg(F.sum("c")).collect() if index.lengths else []
         index.finish({(n, key): c for n, key, c in counted})
         last = k == blocks - 1
-        columns = f"id {kind}, n_words bigint, n_hit bigint, items array<string>, items_sha256 string, spans array<bigint>" if last else f"id {kind}, text string, items array<string>, spans array<bigint>"
+        columns = f"id {kind}, n_words bigint, n_hit bigint, items array<string>, items_sha256 string, spans array<bigint>, rest {rest_type}" if last else f"id {kind}, text string, items array<string>, spans array<bigint>, rest {rest_type}"
         rows = rows.mapInArrow(_match(spark.sparkContext.broadcast(index), last), columns)
         rows = rows if last else table(rows)
     return rows.withColumnRenamed("id", id_col)

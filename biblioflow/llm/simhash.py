@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._forest import Forest
 from ._shared import connected_components, table
 
 SEED = 42
@@ -110,30 +111,6 @@ def route(tree, fps: np.ndarray, radius: int) -> Iterator[tuple[int, np.ndarray,
         stack.append((outside, rows[far], home[far] & (d[far] > mu)))
 
 
-class Forest:
-    """Union-find over numbers 0..n-1, fed with arrays of pairs."""
-
-    def __init__(self, n: int):
-        self.up = np.arange(n)
-
-    def roots(self, x: np.ndarray) -> np.ndarray:
-        r = self.up[x]
-        while True:
-            s = self.up[r]
-            if (s == r).all():
-                return r
-            r = s
-
-    def add(self, a: np.ndarray, b: np.ndarray) -> None:
-        while len(a):
-            ra, rb = self.roots(a), self.roots(b)
-            open_ = ra != rb
-            if not open_.any():
-                return
-            a, b, ra, rb = a[open_], b[open_], ra[open_], rb[open_]
-            np.minimum.at(self.up, np.maximum(ra, rb), np.minimum(ra, rb))
-
-
 def tree_links(points: np.ndarray, queries: np.ndarray, fps: np.ndarray, radius: int, forest: Forest) -> None:
     """Joins in `forest` every query with every point within the radius: a vantage-point tree over the points,
     built as far as the queries reach; both are row numbers into fps."""
@@ -188,7 +165,15 @@ def links(fps: DataFrame, radius: int) -> DataFrame:
 
     kind = fps.schema["rep"].dataType.simpleString()
     placed = fps.select("fp", "rep").mapInArrow(spread, f"shard int, home boolean, fp bigint, rep {kind}")
-    return placed.groupBy("shard").applyInArrow(pairs, f"a {kind}, b {kind}")
+    return placed.repartition(leaves, "shard").groupBy("shard").applyInArrow(pairs, f"a {kind}, b {kind}")
+
+
+def keep_one(docs: DataFrame, shingle: int = 3, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows of the document of smallest id of each group, with the columns of docs. A repeated row stays once; a null id stays where its group has no other."""
+    groups = dedup(docs, shingle, radius, id_col, text_col)
+    stay = table(groups.where(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(F.col(id_col).alias("id_")).agg(F.count("*").alias("n")))
+    kept = docs.join(stay.select("id_"), F.col(id_col).eqNullSafe(F.col("id_")), "left_semi")
+    return kept.dropDuplicates([id_col]) if stay.where("n > 1").limit(1).count() else kept
 
 
 def dedup(docs: DataFrame, shingle: int = 3, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -91,12 +91,12 @@ def _extend(window: int, seed: int):
 
 
 def _remove(window: int, seed: int):
-    """Words left: columns id, text, whole seeds, single windows."""
+    """Words left: columns id, text, whole seeds, single windows, the rest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seeds, singles, text = batch.column(2), batch.column(3), batch.column(1)
-            n_words, n_removed, kept = [], [], []
+            n_words, n_removed, digests, left = [], [], [], []
             for at, data, starts, ends, rows in _chunks(text):
                 some = np.array([seeds[at + i].is_valid for i in range(len(rows) - 1)])
                 p = a = b = np.zeros(0, np.int64)
@@ -124,14 +124,15 @@ def _remove(window: int, seed: int):
                     n_words.append(hi - lo)
                     n_removed.append(int(d.sum()))
                     s, e = starts[lo:hi][~d].tolist(), ends[lo:hi][~d].tolist()
-                    kept.append(b" ".join([raw[x:y] for x, y in zip(s, e, strict=True)]))
-            kept_text = pa.array(kept, pa.binary()).cast(pa.string(), safe=False) if kept else pa.array([], pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string()), kept_text], ["id", "n_words", "n_removed", "kept_sha256", "kept"])
+                    kept = b" ".join([raw[x:y] for x, y in zip(s, e, strict=True)])
+                    digests.append(hashlib.sha256(kept).hexdigest())
+                    left.append(kept.decode() if n_removed[-1] else text[at + i].as_py())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digests, pa.string()), pa.array(left, pa.string()), batch.column(4)], ["id", "n_words", "n_removed", "kept_sha256", "kept", "rest"])
 
     return run
 
 
-def dedup(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """Removes every word covered by a window of `window` words that also starts in a document with a smaller id.
 
     Levels. Level 1 looks at windows of half the length (7 for 13), and only at those that stand for a full window: the
@@ -146,12 +147,14 @@ def dedup(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: s
     window lose nothing; very long texts are handled in one piece by vectorised code. Rows that share an id are one document
     (they must share the text); a null id is never smaller nor larger than another, so such rows lose nothing. An empty
     table gives no rows. Only the two named columns are read.
-    Returns (id, n_words, n_removed, kept_sha256, kept), kept being the words left joined by one space.
+    Returns (id, n_words, n_removed, kept_sha256, kept, rest): the digest is of the words left, joined by one space; kept is these, or the
+    text itself where nothing went; rest is a struct of the columns named in `carry`, which ride along.
     """
     seed = (window + 1) // 2
     kind = docs.schema[id_col].dataType.simpleString()
-    base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    seeds = base.mapInArrow(_seeds(window, seed), f"id {kind}, p int, h bigint, span bigint")
+    rest = F.struct(*[F.col(c) for c in carry]) if carry else F.lit(None).cast("int")
+    base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), rest.alias("rest"))
+    seeds = base.select("id", "text").mapInArrow(_seeds(window, seed), f"id {kind}, p int, h bigint, span bigint")
     level1 = seeds.groupBy("h").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.min("span").alias("lo"), F.max("span").alias("hi")).where("least < most").select(F.col("h").alias("h_"), F.col("least"), (F.col("lo") != F.col("hi")).alias("mixed"))
     again = seeds.select("id", "p", "h").join(level1, F.col("h") == F.col("h_")).where("mixed or id > least")
     again = again.groupBy("id").agg(F.collect_list(F.when(F.col("mixed"), F.col("p"))).alias("open"), F.collect_list(F.when(~F.col("mixed"), F.col("p"))).alias("whole"))
@@ -159,9 +162,10 @@ def dedup(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: s
     again = table(again)
     release(docs.sparkSession)  # the shuffles of all seeds are the largest; the next levels needn't share the disk with them
     texts = base.join(again, F.col("id") == F.col("id_"), "left")
-    level2 = texts.select("id", "text", "open").mapInArrow(_extend(window, seed), f"id {kind}, p int, h bigint, w bigint")
+    # both passes read the same columns of the texts, so that they share one shuffle of them
+    level2 = texts.select("id", "text", "open", "rest").mapInArrow(_extend(window, seed), f"id {kind}, p int, h bigint, w bigint")
     least = level2.groupBy("h", "w").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select(F.col("h").alias("h_"), F.col("w").alias("w_"), "least")
     single = level2.join(least, (F.col("h") == F.col("h_")) & (F.col("w") == F.col("w_"))).where("id > least").groupBy("id").agg(F.collect_list("p").alias("single")).withColumnRenamed("id", "id2")
-    final = texts.join(single, F.col("id") == F.col("id2"), "left").select("id", "text", "whole", "single")
-    out = final.mapInArrow(_remove(window, seed), f"id {kind}, n_words bigint, n_removed bigint, kept_sha256 string, kept string")
+    final = texts.join(single, F.col("id") == F.col("id2"), "left").select("id", "text", "whole", "single", "rest")
+    out = final.mapInArrow(_remove(window, seed), f"id {kind}, n_words bigint, n_removed bigint, kept_sha256 string, kept string, rest {base.schema['rest'].dataType.simpleString()}")
     return out.withColumnRenamed("id", id_col)
