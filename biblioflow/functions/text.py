@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import fixed as X
@@ -33,6 +33,12 @@ def let(value: Column, use) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
+def step(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with columns that the optimiser keeps as a step of their own. Long expressions would otherwise be written into each
+    other, and plans grow faster than they run."""
+    return df.select("*", F.inline(F.array(F.struct(*[v.alias(k) for k, v in columns.items()]))))
+
+
 def present(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed as X
 from ..functions.lines import block_end, citation_signal, dense_start, density, is_declaration, marked
-from ..functions.text import present, squeeze, strip, word_count
+from ..functions.text import present, squeeze, step, strip, word_count
 
 MARK = "\x01"
 
@@ -32,13 +32,13 @@ def merge_spans(spans: Column) -> Column:
     """Sorted array of struct(a, b), touching ones as one."""
     empty = F.array().cast("array<struct<a:int,b:int>>")
 
-    def step(acc: Column, r: Column) -> Column:
+    def add(acc: Column, r: Column) -> Column:
         last = F.try_element_at(acc, F.lit(-1))
         joins = (F.size(acc) > 0) & (r["a"] <= last["b"])
         grown = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last["a"].alias("a"), F.greatest(last["b"], r["b"]).alias("b"))))
         return F.when(joins, grown).otherwise(F.concat(acc, F.array(r)))
 
-    return F.aggregate(F.array_sort(spans), empty, step)
+    return F.aggregate(F.array_sort(spans), empty, add)
 
 
 def looks_annotated(text: Column) -> Column:
@@ -73,7 +73,7 @@ def detect(docs: DataFrame, text_col: str = "text", force_parse: bool = False, f
     dense or has annotated author entries; a dense tail. Null and blank texts have no bibliography.
     """
     t = "__t"
-    df = docs.withColumn(t, present(F.col(text_col)))
+    df = step(docs, **{t: present(F.col(text_col))})
     body_of = strip(F.col(t))
     note = lambda *parts: F.array(F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts]))
     result = lambda bib, body, method, kind, conf, notes: F.struct(bib.alias("bibliography_text"), body.alias("body_text"), F.lit(method).alias("method"), (kind if isinstance(kind, Column) else F.lit(kind)).alias("kind"), (conf if isinstance(conf, Column) else F.lit(float(conf))).cast("double").alias("confidence"), notes.alias("notes"))
@@ -86,13 +86,12 @@ def detect(docs: DataFrame, text_col: str = "text", force_parse: bool = False, f
         forced = result(body_of, empty, "forced", kind, 1.0, note("Every line was parsed as a citation on request."))
         return df.withColumn("detection", F.when(body_of == "", blank).otherwise(forced)).drop(t)
 
-    df = df.withColumn("__l", marked(F.split(t, "\n"))).withColumn("__n", F.size("__l"))
-    df = df.withColumn("__h", match_lines(F.col(t), X.HEADING_LINE, X.HEADING_TWO_LINES)).withColumn("__e", F.when(F.size("__h") > 0, match_lines(F.col(t), X.TERMINATOR)))
-    df = df.withColumn("__b", F.array_sort(F.array_union("__h", F.coalesce("__e", F.array().cast("array<int>")))))
+    df = step(df, __l=marked(F.split(t, "\n")), __h=match_lines(F.col(t), X.HEADING_LINE, X.HEADING_TWO_LINES))
+    df = step(df, __n=F.size("__l"), __b=F.when(F.size("__h") > 0, F.array_sort(F.array_union("__h", match_lines(F.col(t), X.TERMINATOR)))))
     lines, n = F.col("__l"), F.col("__n")
     solid = _solid(lines)
     front = F.slice(solid, 1, X.FRONT_MATTER_LINES)
-    df = df.withColumn("__d", F.array_position(F.transform(front, lambda x: is_declaration(x["s"])), True))
+    df = step(df, __d=F.array_position(F.transform(front, lambda x: is_declaration(x["s"])), True))
     declared = F.col("__d") > 0
     declaring = F.when(declared, F.try_element_at(solid, F.col("__d").cast("int"))["s"]).otherwise("")
 
@@ -108,16 +107,16 @@ def detect(docs: DataFrame, text_col: str = "text", force_parse: bool = False, f
         return (size > 0) & (r["last"] | ((size >= X.MIN_BLOCK_LINES) & (density(part) > X.DENSITY)))
 
     spans = F.transform(F.filter(F.transform("__h", block), counts), lambda r: F.struct(r["a"].cast("int").alias("a"), r["b"].cast("int").alias("b")))
-    df = df.withColumn("__r", F.when(F.size("__h") > 0, merge_spans(spans)))
-    after = F.array_max(F.transform("__r", lambda r: r["b"]))
-    df = df.withColumn("__a", after).withColumn("__tail", F.when(F.size("__r") > 0, _part(lines, F.col("__a"), n)))
+    df = step(df, __r0=F.when(F.size("__h") > 0, merge_spans(spans)))
+    df = step(df, __a=F.array_max(F.transform("__r0", lambda r: r["b"])))
+    df = step(df, __tail=F.when(F.size("__r0") > 0, _part(lines, F.col("__a"), n)))
     tail = F.col("__tail")
-    df = df.withColumn("__s", F.when((F.size(_solid(tail)) >= X.MIN_BLOCK_LINES) & (density(tail) > X.DENSITY), F.col("__a") + dense_start(tail)))
+    df = step(df, __s=F.when((F.size(_solid(tail)) >= X.MIN_BLOCK_LINES) & (density(tail) > X.DENSITY), F.col("__a") + dense_start(tail)))
     below = _part(lines, F.col("__s"), n)
     also = (F.size(_solid(below)) >= X.MIN_BLOCK_LINES) & (density(below) > X.DENSITY)
-    df = df.withColumn("__r", F.when(F.col("__s").isNotNull() & also, merge_spans(F.concat("__r", F.array(F.struct(F.col("__s").cast("int").alias("a"), n.cast("int").alias("b")))))).otherwise(F.col("__r")))
+    df = step(df, __r=F.when(F.col("__s").isNotNull() & also, merge_spans(F.concat("__r0", F.array(F.struct(F.col("__s").cast("int").alias("a"), n.cast("int").alias("b")))))).otherwise(F.col("__r0")))
     regions = F.col("__r")
-    df = df.withColumn("__c", strip(F.array_join(F.transform(regions, lambda r: strip(_raw(_part(lines, r["a"], r["b"])))), "\n\n")))
+    df = step(df, __c=strip(F.array_join(F.transform(regions, lambda r: strip(_raw(_part(lines, r["a"], r["b"])))), "\n\n")))
     uncovered = F.filter(lines, lambda x, i: ~F.exists(regions, lambda r: (i >= r["a"]) & (i < r["b"])) & ~F.array_contains("__h", i))
     covered_lines = F.flatten(F.transform(regions, lambda r: _part(lines, r["a"], r["b"])))
     share = lambda c: F.try_divide(F.char_length(c), F.char_length(body_of))
@@ -138,7 +137,7 @@ def detect(docs: DataFrame, text_col: str = "text", force_parse: bool = False, f
 
     # a dense tail
     half = F.floor(n / 2).cast("int")
-    df = df.withColumn("__k", F.when(density(_part(lines, half, n)) > X.DENSITY, dense_start(lines)))
+    df = step(df, __k=F.when(density(_part(lines, half, n)) > X.DENSITY, dense_start(lines)))
     dense_part = _part(lines, F.col("__k"), n)
     found = strip(_raw(dense_part))
     level = density(dense_part)
@@ -147,7 +146,7 @@ def detect(docs: DataFrame, text_col: str = "text", force_parse: bool = False, f
     none = result(empty, body_of, "none", "non_academic", 0.0, note("No references heading and no dense block of citations were found."))
 
     out = F.when(squeeze(F.col(t)) == "", blank).when(F.size(regions) > 0, headed).when(titled_ok, titled).when(dense_ok, dense).otherwise(none)
-    return df.withColumn("detection", out).drop(t, "__l", "__n", "__h", "__e", "__b", "__d", "__r", "__a", "__tail", "__s", "__c", "__k")
+    return step(df, detection=out).drop(t, "__l", "__n", "__h", "__b", "__d", "__r0", "__r", "__a", "__tail", "__s", "__c", "__k")
 
 
 def bibliography_section(docs: DataFrame, text_col: str = "text", force_parse: bool = False) -> DataFrame:

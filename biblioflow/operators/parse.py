@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed as X
 from ..functions.authors import AUTHORS, author_span
 from ..functions.lines import any_of
-from ..functions.text import extract, let, matched, normalize_unicode, present, squeeze, strip, tidy_field, word_count
+from ..functions.text import extract, let, matched, normalize_unicode, present, squeeze, step, strip, tidy_field, word_count
 
 TEXT_FIELDS = ("title", "year", "journal", "volume", "issue", "pages", "doi", "url", "publisher", "address", "edition", "booktitle", "raw_text", "style", "entry_type", "source_file")
 FIELDS = (*TEXT_FIELDS[:9], "authors", "raw_text", "style", "entry_type", "confidence")
@@ -64,13 +64,13 @@ def safe_sentences(c: Column) -> Column:
     """Sentences; initials and abbreviations don't end one."""
     start = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("open"))
 
-    def step(s: Column, x: Column) -> Column:
+    def add(s: Column, x: Column) -> Column:
         return let(
             F.when(s["open"] == "", x).otherwise(strip(F.concat(s["open"], F.lit(" "), x))),
             lambda b: F.when(b.rlike(X.INITIAL_END) | b.rlike(X.ABBREVIATION_END), F.struct(s["out"].alias("out"), b.alias("open"))).otherwise(F.struct(F.concat(s["out"], F.array(b)).alias("out"), F.lit("").alias("open"))),
         )
 
-    done = F.aggregate(F.split(c, r"(?U)(?<=[.!?])\s+"), start, step, lambda s: F.concat(s["out"], F.array(s["open"])))
+    done = F.aggregate(F.split(c, r"(?U)(?<=[.!?])\s+"), start, add, lambda s: F.concat(s["out"], F.array(s["open"])))
     return F.filter(F.transform(done, lambda x: strip(x)), lambda x: x != "")
 
 
@@ -214,14 +214,14 @@ def parse(entries: DataFrame, raw_col: str = "raw", style_col: str | None = None
     batches. Null and blank entries have empty fields and confidence 0.
     """
     style = F.col(style_col) if style_col else F.lit("unknown")
-    df = entries.withColumn("__raw", normalize_unicode(F.col(raw_col))).withColumn("__style", style)
-    df = df.withColumn("__header", squeeze(split_header(F.col("__raw")))).withColumn("__body", F.regexp_replace("__header", X.ENTRY_PREFIX, ""))
-    df = df.withColumn("__span", author_span(F.col("__body")))
-    df = df.withColumns({"__region": F.substring(F.col("__body"), F.lit(1), F.col("__span.end")), "__rest": F.substring(F.col("__body"), F.col("__span.end") + 1, F.char_length("__body"))})
+    df = step(entries, __raw=normalize_unicode(F.col(raw_col)), __named=style)
+    df = step(df, __header=squeeze(split_header(F.col("__raw"))))
+    df = step(df, __body=F.regexp_replace("__header", X.ENTRY_PREFIX, ""))
+    df = step(df.withColumn("__span", author_span(F.col("__body"))), __region=F.substring(F.col("__body"), F.lit(1), F.col("__span.end")), __rest=F.substring(F.col("__body"), F.col("__span.end") + 1, F.char_length("__body")))
     raw, header, body, rest = (F.col(f"__{x}") for x in ("raw", "header", "body", "rest"))
-    df = df.withColumns({"__title": extract_title(body, rest, F.col("__region")), "__doi": extract_doi(raw)})
+    df = step(df, __title=extract_title(body, rest, F.col("__region")), __doi=extract_doi(raw))
     title = F.col("__title")
-    df = df.withColumns({"__journal": extract_journal(header, title, rest), "__loc": extract_locators(header, rest), "__publisher": extract_publisher(header, title), "__year": extract_year(header)})
+    df = step(df, __journal=extract_journal(header, title, rest), __loc=extract_locators(header, rest), __publisher=extract_publisher(header, title), __year=extract_year(header))
     number = F.when(F.col("__doi") == "", F.nullif(extract(rest, X.ARXIV, 1), F.lit("")))
     url, year = extract_url(raw), F.col("__year")
     df = df.withColumns({
@@ -234,7 +234,7 @@ def parse(entries: DataFrame, raw_col: str = "raw", style_col: str | None = None
     out = {
         "title": title, "authors": F.coalesce(F.col("__span.authors"), F.array().cast(AUTHORS)), "year": F.col("__year"), "journal": F.col("__journal"),
         "volume": F.col("__loc.volume"), "issue": F.col("__loc.issue"), "pages": F.col("__loc.pages"), "doi": F.col("__doi"), "url": F.col("__url"), "publisher": F.col("__publisher"),
-        "raw_text": strip(raw), "style": F.col("__style"),
+        "raw_text": strip(raw), "style": F.col("__named"),
     }
     df = df.withColumns(out)
     c = F.col

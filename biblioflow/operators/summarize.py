@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed as X
 from ..functions.lines import any_of
-from ..functions.text import let, present, strip, word_count
+from ..functions.text import let, present, step, strip, word_count
 
 
 def is_reference_line(c: Column) -> Column:
@@ -34,11 +34,11 @@ def clean_for_summary(c: Column) -> Column:
 def split_sentences(c: Column) -> Column:
     start = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("open"))
 
-    def step(s: Column, x: Column) -> Column:
+    def add(s: Column, x: Column) -> Column:
         whole = F.when(s["open"] == "", x).otherwise(strip(F.concat(s["open"], F.lit(" "), x)))
         return let(whole, lambda b: F.when(b.rlike(X.SENTENCE_ABBREVIATION), F.struct(s["out"].alias("out"), b.alias("open"))).otherwise(F.struct(F.concat(s["out"], F.array(b)).alias("out"), F.lit("").alias("open"))))
 
-    done = F.aggregate(F.split(c, X.SENTENCE_BOUNDARY), start, step, lambda s: F.concat(s["out"], F.array(s["open"])))
+    done = F.aggregate(F.split(c, X.SENTENCE_BOUNDARY), start, add, lambda s: F.concat(s["out"], F.array(s["open"])))
     return F.filter(F.transform(done, lambda x: strip(x)), lambda x: x != "")
 
 
@@ -83,8 +83,8 @@ def scored_sentences(c: Column) -> Column:
 def summarize(docs: DataFrame, text_col: str = "text", k: int = X.SUMMARY_SENTENCES, out_col: str = "summary") -> DataFrame:
     """Adds a summary of at most k sentences; '' for null and blank text. Ties go to the earlier sentence."""
     pick = F.arrow_udf(_pick(k), "string", F.ArrowUDFType.SCALAR)
-    df = docs.withColumn("__s", scored_sentences(F.col(text_col)))
-    return df.withColumn(out_col, F.when(strip(present(F.col(text_col))) == "", "").otherwise(pick(F.col("__s")))).drop("__s")
+    df = step(docs, __sentences=scored_sentences(F.col(text_col)))
+    return df.withColumn(out_col, F.when(strip(present(F.col(text_col))) == "", "").otherwise(pick(F.col("__sentences")))).drop("__sentences")
 
 
 def describe_reference_list(n: Column, kind: Column) -> Column:
