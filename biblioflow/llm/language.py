@@ -38,24 +38,21 @@ class Model:
         self.pad = int(self.symbol[10])
         grams = {lang: self._counts(group, order) for lang, group in texts.items()}
         cost = np.full((1, s, len(self.langs)), np.log2(256.0))  # below order 0
-        cost = self._extend(cost, [np.zeros(1, np.int64)] * 1, grams, 0)
-        nodes, index = np.zeros(1, np.int64), np.zeros(1, np.int64)  # contexts by number, and the node of each context number
-        for k in range(1, order + 1):
-            total: dict = {}
+        cost = self._extend(cost, np.zeros(1, np.int64), grams, 0)
+        index = np.zeros(1, np.int64)  # node of each context number
+        for k in range(1, order + 1 if self.langs else 0):
             seen = np.concatenate([grams[x][k][0] // s for x in self.langs])
             times = np.concatenate([grams[x][k][1] for x in self.langs])
             contexts, where = np.unique(seen, return_inverse=True)
             n = np.bincount(where, times)
             own = contexts[n >= MIN_COUNT] if k == order else contexts
             shorter = index[own % s ** (k - 1)]
-            grown = self._extend(cost[shorter], [own], grams, k)
+            grown = self._extend(cost[shorter], own, grams, k)
             index = index[np.arange(s**k) % s ** (k - 1)]  # contexts without a node keep the shorter one's
             index[own] = len(cost) + np.arange(len(own))
             cost = np.concatenate([cost, grown])
-            del total, nodes
-            nodes = own
         self.index = index.astype(np.int32)
-        self.cost = np.ascontiguousarray(cost.reshape(-1, len(self.langs)).astype(np.float32))
+        self.cost = np.ascontiguousarray(cost.reshape(len(cost) * s, len(self.langs)).astype(np.float32))
 
     def _counts(self, group: list[bytes], order: int) -> list[tuple[np.ndarray, np.ndarray]]:
         """Distinct grams of each order (context and next symbol, as a number) and how often each occurs."""
@@ -71,9 +68,9 @@ class Model:
             out.append(np.unique(np.concatenate(parts) if parts else np.zeros(0, np.int64), return_counts=True))
         return out
 
-    def _extend(self, shorter: np.ndarray, own: list[np.ndarray], grams: dict, k: int) -> np.ndarray:
+    def _extend(self, shorter: np.ndarray, own: np.ndarray, grams: dict, k: int) -> np.ndarray:
         """Costs of contexts `own` of order k, given their shorter contexts' costs."""
-        s, own = self.size, own[0]
+        s = self.size
         cost = shorter.copy()
         for i, lang in enumerate(self.langs):
             g, c = grams[lang][k]
@@ -152,7 +149,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> Column:
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(column: pa.Array) -> pa.Array:
+    def run(column):
         m = sent.value
         langs, scores = [], []
         for _, data, offsets in text_chunks(column):
@@ -164,6 +161,5 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> Column:
     none = F.struct(F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
     if not model.langs:
         return none
-    run.__annotations__ = {}
     guess = F.arrow_udf(run, "lang_pred string, score double", F.ArrowUDFType.SCALAR)(F.col(text_col))
     return F.when(F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)), guess).otherwise(none)
