@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..errors import BiblioflowError, CorruptedDocumentError, ExtractionError, OcrUnavailableError, UnsupportedFileError
 from ..functions.text import present, squeeze
 
 #: Decoder -> extensions and MIME types, in order of resolution (fixed values).
@@ -70,12 +71,6 @@ def read_text_tables(spark: SparkSession, path: str, text_col: str = "text") ->
     return spark.read.parquet(path).withColumnRenamed(text_col, "text")
 
 
-class DecodeError(Exception):
-    def __init__(self, message: str, kind: str):
-        super().__init__(message)
-        self.kind = kind
-
-
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 _A = "{http://schemas.openxmlformats.org/drawingml/2006/main}"
 
@@ -124,7 +119,7 @@ def decode_pdf(data: bytes) -> dict:
     try:
         import fitz
     except ImportError as missing:
-        raise DecodeError("PDF files need the PyMuPDF library, which is not installed.", "extraction") from missing
+        raise ExtractionError("PDF files need the PyMuPDF library, which is not installed.") from missing
     with fitz.open(stream=data, filetype="pdf") as doc:
         pages = [page.get_text() for page in doc]
         metadata = {k: str(v) for k, v in (doc.metadata or {}).items() if v}
@@ -137,7 +132,7 @@ def decode_image(data: bytes) -> dict:
         import pytesseract
         from PIL import Image, ImageEnhance, ImageOps
     except ImportError as missing:
-        raise DecodeError("Images need optical character recognition, which is not installed.", "ocr_unavailable") from missing
+        raise OcrUnavailableError("Images need optical character recognition, which is not installed.") from missing
     image = ImageOps.grayscale(ImageOps.exif_transpose(Image.open(io.BytesIO(data))))
     if min(image.size) < 1_000:
         grow = 1_000 / min(image.size)
@@ -153,14 +148,14 @@ _FIELDS = (("text", pa.string(), ""), ("page_count", pa.int32(), 0), ("pages", p
 
 def decode_one(data: bytes | None, decoder: str | None, filename: str | None) -> dict:
     """Text and notes of one file; failures are fields of the result."""
-    if decoder is None:
-        return {"error": f"Cannot read {filename or 'this file'}. Supported formats are {', '.join('.' + e for e in supported_extensions())}.", "error_kind": "unsupported_file"}
     try:
+        if decoder is None:
+            raise UnsupportedFileError(f"Cannot read {filename or 'this file'}.", f"Supported formats are {', '.join('.' + e for e in supported_extensions())}.")
         return _RUN[decoder](data or b"")
-    except DecodeError as e:
-        return {"error": str(e), "error_kind": e.kind}
+    except BiblioflowError as e:
+        return {"error": " ".join(x for x in (e.message, e.remedy) if x), "error_kind": e.kind}
     except Exception as e:
-        return {"error": f"The file could not be decoded: {e}", "error_kind": "corrupted_document"}
+        return {"error": f"The file could not be decoded: {e}", "error_kind": CorruptedDocumentError.kind}
 
 
 def _decode(content, decoder, filename):

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..errors import ExportError
 from ..functions import fixed as X
 from ..functions.derive import author_string, cite_key
 from ..operators.render import format_list
@@ -14,10 +15,6 @@ from ..operators.render import format_list
 c = F.col
 
 
-class ExportError(Exception):
-    kind = "export"
-
-
 def _line(label: str, value: str | Column, end: str = "") -> Column:
     v = c(value) if isinstance(value, str) else value
     return F.when(v != "", F.concat(F.lit(label), v, F.lit(end)))
