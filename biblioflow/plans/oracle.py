@@ -43,7 +43,7 @@ FROM works, (SELECT unnest(['apa', 'book', 'prose']) AS form)"""),
     "split_indent": _w("SELECT k // 10 AS doc, row_number() OVER (PARTITION BY k // 10 ORDER BY k) - 1 AS pos, md5(ini || ' ' || fam || ', ' || title || ',' || chr(10) || journal || ' ' || volume || ', ' || a || ' (' || year || ').') AS entry FROM works"),
     "split_numbered": _w(f"SELECT k // 10 AS doc, row_number() OVER (PARTITION BY k // 10 ORDER BY k) - 1 AS pos, md5('[' || (k % 10 + 1) || '] ' || {TAIL}) AS entry FROM works"),
     "style_vote": _w("SELECT DISTINCT k // 10 AS list, form, form AS style FROM works, (SELECT unnest(['apa', 'mla', 'ieee']) AS form)"),
-    "process_documents": _w("SELECT k // 10 AS doc, count(*) AS citation_count, 0 AS discarded_count, CAST(1.0 AS DOUBLE) AS average_confidence, 0 AS flagged FROM works GROUP BY 1"),
+    "process_documents": _w("SELECT k // 10 AS doc, count(*) AS citation_count, CAST(0 AS BIGINT) AS discarded_count, CAST(1.0 AS DOUBLE) AS average_confidence, CAST(0 AS BIGINT) AS flagged FROM works GROUP BY 1"),
     "pasted_references": _w("SELECT k // 10 AS doc, row_number() OVER (PARTITION BY k // 10 ORDER BY k) - 1 AS pos, CASE WHEN count(*) OVER (PARTITION BY k // 10) > 1 THEN 'apa' ELSE 'unknown' END AS style, year, doi FROM works"),
     "dedupe": f"""WITH {_COPIES},
 ranked AS (SELECT *, max(struct_pack(n := n, c := confidence)) OVER (PARTITION BY key ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM keyed WHERE key IS NOT NULL),
