@@ -156,15 +156,19 @@ def dedup(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: s
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), rest.alias("rest"))
     seeds = base.select("id", "text").mapInArrow(_seeds(window, seed), f"id {kind}, p int, h bigint, span bigint")
     level1 = seeds.groupBy("h").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.min("span").alias("lo"), F.max("span").alias("hi")).where("least < most").select(F.col("h").alias("h_"), F.col("least"), (F.col("lo") != F.col("hi")).alias("mixed"))
+    level1 = table(level1)  # a table of its own: Spark splits hot keys of a join only where both sides come straight from their shuffles
+    release(docs.sparkSession)
     again = seeds.select("id", "p", "h").join(level1, F.col("h") == F.col("h_")).where("mixed or id > least")
     again = again.groupBy("id").agg(F.collect_list(F.when(F.col("mixed"), F.col("p"))).alias("open"), F.collect_list(F.when(~F.col("mixed"), F.col("p"))).alias("whole"))
     again = again.select(F.col("id").alias("id_"), F.when(F.size("open") > 0, F.col("open")).alias("open"), F.when(F.size("whole") > 0, F.col("whole")).alias("whole"))
     again = table(again)
-    release(docs.sparkSession)  # the shuffles of all seeds are the largest; the next levels needn't share the disk with them
+    release(docs.sparkSession)
     texts = base.join(again, F.col("id") == F.col("id_"), "left")
     # both passes read the same columns of the texts, so that they share one shuffle of them
     level2 = texts.select("id", "text", "open", "rest").mapInArrow(_extend(window, seed), f"id {kind}, p int, h bigint, w bigint")
     least = level2.groupBy("h", "w").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select(F.col("h").alias("h_"), F.col("w").alias("w_"), "least")
+    least = table(least)
+    release(docs.sparkSession)
     single = level2.join(least, (F.col("h") == F.col("h_")) & (F.col("w") == F.col("w_"))).where("id > least").groupBy("id").agg(F.collect_list("p").alias("single")).withColumnRenamed("id", "id2")
     final = texts.join(single, F.col("id") == F.col("id2"), "left").select("id", "text", "whole", "single", "rest")
     out = final.mapInArrow(_remove(window, seed), f"id {kind}, n_words bigint, n_removed bigint, kept_sha256 string, kept string, rest {base.schema['rest'].dataType.simpleString()}")
