@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from ._forest import Forest
 from ._shared import connected_components, table
 
-#: Vectors of a block (a task holds two), and of a tile of its product matrix.
+#: Most vectors of a block (a task holds two), and those of a tile of its product matrix.
 BLOCK_ROWS, TILE = 8_192, 1_024
+#: Small tables are cut into so many blocks, of 512 vectors at least, so that there are tasks for all cores.
+MIN_BLOCKS = 12
 #: Covers rounding of the scaled products in single precision.
 SLACK = 2e-6
 
@@ -98,7 +100,8 @@ def dedup(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec_id", v
     finite = F.forall(v, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf"))) & F.exists(v, lambda e: e != 0)
     base = base.withColumn("valid", F.coalesce(finite, F.lit(False)))
     classes = table(base.where("valid").groupBy("embedding").agg(F.min("id").alias("rep"), F.count("*").alias("copies")))
-    blocks = max(1, -(-classes.count() // BLOCK_ROWS))
+    n = classes.count()
+    blocks = max(1, -(-n // BLOCK_ROWS), min(MIN_BLOCKS, n // 512))
     block = F.pmod(F.xxhash64("embedding"), F.lit(blocks)).cast("int")
     placed = classes.withColumn("block", block).withColumn("dim", F.size("embedding"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
