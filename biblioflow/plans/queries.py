@@ -42,7 +42,10 @@ LISTS = {
 
 
 def _read(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    """A table, dealt out to all cores where its files are too few for them; larger tables stay as they are."""
+    df = spark.read.parquet(f"{sf}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if name in ("documents", "part") and df.rdd.getNumPartitions() < cores else df
 
 
 def works(spark: SparkSession, sf: str) -> DataFrame:
