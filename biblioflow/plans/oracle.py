@@ -83,7 +83,7 @@ SELECT count(*) AS file_count, count(*) FILTER (source_file <> 'f2') AS success_
   SELECT field, sum(CASE field WHEN 'year' THEN (k % 10 <> 0)::INT WHEN 'doi' THEN 0 ELSE 1 END) AS tp, sum(CASE field WHEN 'year' THEN (k % 10 = 0)::INT ELSE 0 END) AS fp, sum(CASE field WHEN 'year' THEN (k % 10 = 0)::INT ELSE 0 END) AS fn
   FROM works, (SELECT unnest(['title', 'authors', 'year', 'doi']) AS field) GROUP BY 1)"""),
     "text_stats": r"""WITH s AS (SELECT doc_id, text, CAST(len(regexp_extract_all(text, '[^\s]+')) AS BIGINT) AS words,
-  CAST(len(regexp_extract_all(regexp_replace(regexp_replace(regexp_replace(text, '\b[A-Z]\.', '', 'g'), '10\.\d{4,9}/[^\s]+', '', 'g'), '(?i)\b(?:et al|vol|no|pp|ed|eds|cf|i\.e|e\.g)\.', '', 'g'), '[.!?]+(\s|$)')) AS BIGINT) AS sentences FROM documents)
+  CAST(len(regexp_extract_all(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(^|[^\pL\pM\pN_])[A-Z]\.', '\1', 'g'), '(^|[^\pL\pM\pN_])[A-Z]\.', '\1', 'g'), '10\.\d{4,9}/[^\s]+', '', 'g'), '(?i)\b(?:et al|vol|no|pp|ed|eds|cf|i\.e|e\.g)\.', '', 'g'), '[.!?]+(\s|$)')) AS BIGINT) AS sentences FROM documents)
 SELECT doc_id, words, CAST(length(text) AS BIGINT) AS characters, CAST(length(text) - length(replace(text, chr(10), '')) + 1 AS BIGINT) AS lines, sentences, CASE WHEN words = 0 THEN 0 ELSE greatest(1, CAST(round_even(words / 300, 0) AS BIGINT)) END AS pages, CASE WHEN words = 0 THEN 0 ELSE greatest(1, CAST(round_even(words / 220, 0) AS BIGINT)) END AS minutes FROM s""",
     "strip_furniture": r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
 t AS (SELECT *, regexp_replace(line, '^\s+|\s+$', '', 'g') AS bare, count(*) FILTER (regexp_replace(line, '^\s+|\s+$', '', 'g') <> '') OVER (PARTITION BY doc_id) AS n FROM l),
