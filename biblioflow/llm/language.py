@@ -6,12 +6,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ._shared import table
 from ._words import text_chunks
 
-#: Training documents of each language: those of smallest hash among the labelled rows.
+#: Training texts of each language: those of smallest hash among the different texts of the labelled rows.
 TRAIN_DOCS = 400
 ORDER = 3
 #: Contexts of full order seen so often, in any language, have a node of their own.
@@ -129,14 +130,20 @@ class Model:
 
 
 def fit(docs: DataFrame, usable: Column, train_docs: int = TRAIN_DOCS, text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Learns from at most `train_docs` whole texts of each language, of the rows where `usable` holds."""
+    """Learns from at most `train_docs` whole, different texts of each language, of the rows where `usable` holds: those of smallest hash.
+
+    Copies count once, so every language with a usable text is learned, however often its texts repeat.
+    """
+    low = F.pmod("x", F.lit(1 << 30))
     labelled = docs.where(usable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.length(text_col) > 0)).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("x"))
-    counts = labelled.groupBy("lang").count()
-    # a share of the hash range that holds somewhat more than train_docs rows of the language
-    share = F.broadcast(counts.select(F.col("lang").alias("l"), F.least(F.lit(1.0), F.lit(1.5 * train_docs + 50) / F.col("count")).alias("share")))
-    near = labelled.join(share, F.col("lang") == F.col("l")).where(F.pmod("x", F.lit(1 << 30)) < F.col("share") * (1 << 30))
+    hashes = table(labelled.select("lang", "x").distinct())
+    # a share of the hash range that holds somewhat more than train_docs of the language's different texts, so that no task ranks all of them
+    share = F.broadcast(hashes.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(1.5 * train_docs + 50) / F.count("*")).alias("share")))
+    near = hashes.join(share, "lang").where(low < F.col("share") * (1 << 30)).withColumn("low", low)
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("low", "x"))
+    picked = near.withColumn("rank", rank).where(F.col("rank") <= train_docs).select("lang", "x")
     texts: dict[str, list] = {}
-    for lang, text, x in near.select("lang", "text", "x").toLocalIterator():
+    for lang, text, x in labelled.join(F.broadcast(picked), ["lang", "x"], "left_semi").select("lang", "text", "x").distinct().collect():
         texts.setdefault(lang, []).append((x % (1 << 30), text.encode()))
     return Model({lang: [t for _, t in sorted(rows)[:train_docs]] for lang, rows in texts.items()})
 

@@ -200,6 +200,16 @@ def test_language(spark):
     assert docs.select(language.identify(docs, empty).alias("x")).where("x.lang_pred <> 'und'").count() == 0
 
 
+def test_language_learns_from_different_texts(spark, monkeypatch):
+    """Copies neither crowd out the other texts of a language nor the language itself."""
+    monkeypatch.setattr(language, "Model", lambda texts: texts)
+    texts = {"aa": [f"copied text {i}" for i in range(20)], "bb": [f"own text {i}" for i in range(900)], "cc": ["one"]}
+    rows = [(t, lang) for lang, own in texts.items() for t in own * {"aa": 1_000, "bb": 1, "cc": 4_000}[lang]]
+    got = language.fit(spark.createDataFrame(rows, "text string, lang string").repartition(5), F.lit(True))
+    assert {lang: sorted(got.get(lang, [])) for lang in ("aa", "cc")} == {lang: sorted(t.encode() for t in texts[lang]) for lang in ("aa", "cc")}
+    assert len(set(got["bb"])) == len(got["bb"]) == language.TRAIN_DOCS
+
+
 def test_quality(spark):
     good = [(i, " ".join(R.choices(["some", "plain", "words", "here.", "And", "more"], k=R.randrange(5, 80))), 1) for i in range(150)]
     bad = [(i + 200, " ".join([R.choice(["JUNK!!", "a$$$", "spam spam"])] * R.randrange(5, 80)), 0) for i in range(60)]
