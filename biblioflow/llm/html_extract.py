@@ -24,6 +24,10 @@ SAME = {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th
 #: Elements and class or id words that hold no part of an article.
 NOT_MAIN = frozenset("aside button canvas dialog footer form head iframe menu nav noembed noframes noscript object option script select style svg template textarea title xmp".split())
 NOT_MAIN_WORDS = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist cookie cookies disclaimer disqus footer header menu modal nav navbar navigation newsletter notice notices notification pagination pager popup promo promoted recommended related replies responses share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget".split())
+#: Words that add nothing to those in a class or id ("comment-list", "share-buttons").
+NEUTRAL_WORDS = frozenset("area bar box buttons form links list posts".split())
+#: Elements that class and id words are not applied to, and those that hold an article by their tag.
+NO_WORDS, ARTICLE = frozenset("html body article main p h1 h2 h3 h4 h5 h6".split()), frozenset("article main".split())
 MAIN_WORDS = frozenset("article content entry main maincontent post story".split())
 ROLES = {"banner": False, "navigation": False, "complementary": False, "contentinfo": False, "search": False, "form": False, "main": True, "article": True}
 
@@ -33,7 +37,8 @@ DEPTH = 48  # deeper elements count as their ancestor at this depth; their text
 
 
 def _key(tag: str, attributes: str) -> str:
-    """An element's name in a wrapper: its tag and the words of class, id and role that matter, sorted."""
+    """An element's name in a wrapper: its tag and the words of class, id and role that matter, sorted. The word `!` says that a whole class or id consists of
+    NOT_MAIN_WORDS, `?` that only a part of one does."""
     if not attributes or attributes == "/":
         return tag
     words = set()
@@ -44,15 +49,39 @@ def _key(tag: str, attributes: str) -> str:
         elif kind == "hidden":
             words.add("=hidden")
         elif kind in ("class", "id"):
-            words.update(w for w in re.split(r"[^a-z0-9]+", value) if w and not w.isdigit())
+            for name in value.split():
+                own = {w for w in re.split(r"[^a-z0-9]+", name) if w and not w.isdigit()}
+                words |= own
+                if not NOT_MAIN_WORDS.isdisjoint(own):
+                    words.add("!" if own <= NOT_MAIN_WORDS | NEUTRAL_WORDS else "?")
     return ".".join([tag, *sorted(words)])
 
 
 def _bad(key: str) -> bool:
+    """Whether tag, role or hidden rule an element out, whatever it holds. Forms are judged like names: some sites wrap whole pages in one."""
     tag, *words = key.split(".")
-    if any(w[:1] == "=" and not ROLES.get(w[1:], False) for w in words):
+    return any(w[:1] == "=" and not ROLES.get(w[1:], False) for w in words) or tag in NOT_MAIN and tag != "form"
+
+
+def _rejected(key: str, text: int, linked: int, holds: bool, everything: int, named: bool) -> bool:
+    """Whether an element is left out, given its characters outside and inside links, whether it holds an article, and the page's characters outside links.
+
+    A name that only in part speaks against the element needs text that is mostly links. No name counts against what holds an article, or
+    (outside of an element named as the article, `named`) most of the text.
+    """
+    if _bad(key):
         return True
-    return tag in NOT_MAIN or tag not in ("html", "body", "article", "main") and not NOT_MAIN_WORDS.isdisjoint(words)
+    tag, *words = key.split(".")
+    whole = tag == "form" or "!" in words
+    if tag in NO_WORDS or not whole and "?" not in words or holds or not named and 2 * text > everything:
+        return False
+    return whole or linked > text
+
+
+def _holder(key: str) -> bool:
+    """An element that is an article, and not one comment of many."""
+    tag, *words = key.split(".")
+    return (tag in ARTICLE or "=main" in words or "=article" in words) and "!" not in words and "?" not in words
 
 
 def _good(key: str) -> bool:
@@ -255,6 +284,19 @@ def main_path(w: Node) -> list[str] | None:
     """Keys from the root to the element that holds the article: of those named as such, the one with most text outside links;
     else the element whose paragraphs have most. None where a wrapper has no text at all."""
     best: tuple = (0, 0, 0, None)
+    weights: dict[int, tuple[int, int, bool]] = {}
+
+    def weigh(node: Node) -> tuple[int, int, bool]:
+        """Characters outside and inside links, and whether there is an article, in the element and below."""
+        text, linked, holds = node.text - node.linked, node.linked, _holder(node.key)
+        for c in node.children:
+            if not _bad(c.key):
+                t, n, h = weigh(c)
+                text, linked, holds = text + t, linked + n, holds or h
+        weights[id(node)] = text, linked, holds
+        return weights[id(node)]
+
+    everything = weigh(w)[0]
 
     def visit(node: Node, path: list[str], named: bool) -> tuple[int, int]:
         """Text outside links in the element and below, without what can't be main."""
@@ -262,7 +304,7 @@ def main_path(w: Node) -> list[str] | None:
         own = node.text - node.linked
         below = 0
         for c in node.children:
-            if not _bad(c.key):
+            if not _bad(c.key) and not _rejected(c.key, *weights[id(c)], everything, named):
                 full, direct = visit(c, [*path, c.key], named or _good(c.key))
                 below += full
                 own += direct if c.key.split(".")[0] not in BLOCK or c.key.split(".")[0] in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "blockquote", "ul", "ol", "li", "table") else 0
@@ -288,6 +330,35 @@ def text_of(page: str | None, main: list[str] | None) -> str:
     return "\n\n".join(out)
 
 
+def _left_out(stream: list[tuple[str, str, str]]) -> set[int]:
+    """Places in a page's token stream of the elements that are left out."""
+    out: set[int] = set()
+    judged: list[tuple[int, str, int, int, bool, bool]] = []
+    stack: list[list] = [[-1, "", 0, 0, False, False]]  # place, key, characters outside and inside links, whether it holds an article, is below a named element
+    links = dead = 0  # open links; depth of the outermost element that is out whatever it holds
+    for at, (kind, key, text) in enumerate(stream):
+        if kind == "<":
+            links += key.split(".")[0] == "a"
+            stack.append([at, key, 0, 0, _holder(key), stack[-1][5] or _good(stack[-1][1])])
+            if not dead and _bad(key):
+                dead = len(stack)
+                out.add(at)
+        elif kind == ">":
+            links -= key == "a"
+            node = stack.pop()
+            if dead > len(stack):
+                dead = 0
+            elif not dead:
+                top = stack[-1]
+                top[2], top[3], top[4] = top[2] + node[2], top[3] + node[3], top[4] or node[4]
+                judged.append(tuple(node))
+        elif kind == "#" and not dead and not text.isspace():
+            stack[-1][3 if links else 2] += len(text)
+    everything = stack[0][2]
+    out.update(at for at, *x, named in judged if _rejected(*x, everything, named))
+    return out
+
+
 def _blocks(page: str, main: list[str]) -> list[str] | None:
     blocks: list[str] = []
     now: list[str] = []
@@ -301,7 +372,9 @@ def _blocks(page: str, main: list[str]) -> list[str] | None:
         if text:
             blocks.append(text)
 
-    for kind, key, text in tokens(page):
+    stream = list(tokens(page))
+    out = _left_out(stream)
+    for at, (kind, key, text) in enumerate(stream):
         if kind == "<":
             path.append(key)
             tag = key.split(".")[0]
@@ -313,7 +386,7 @@ def _blocks(page: str, main: list[str]) -> list[str] | None:
             if inside:
                 if tag in BLOCK:
                     close()
-                if not skip and _bad(key):
+                if not skip and at in out:
                     skip = len(path)
         elif kind == ">":
             if inside and key in BLOCK:
@@ -383,7 +456,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     Host wrappers say which element holds the article; pages are joined with that path (one small row per host; Spark broadcasts it
     by its own size check or splits hot hosts) and their blocks are read from it. Elements inside that are menus, forms, adverts, notices,
-    comments and the like are left out. A page without the element is judged by its own wrapper.
+    comments and the like are left out: by tag and role, by a class or id that says nothing else, or by one that says so in part where the text is
+    mostly links; names never rule out what holds an article or most of a page's text. A page without the element is judged by its own wrapper.
 
     Null and empty html, and pages without text, have an empty text. A null url counts as host "". Unclosed, stray and nested elements of any depth are
     tolerated. Repeated rows are extracted each. An empty table gives no rows. Other columns are not read.

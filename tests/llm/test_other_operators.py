@@ -67,6 +67,20 @@ def test_html(spark):
     assert html_extract.text_of(noisy, None) == "Ti & tle\n\nOne two bold\n\nThree\n\na\n\nb"
 
 
+def test_html_names_that_only_sound_like_a_menu(spark):
+    """Layout wrappers, widget containers and generated ids keep their text; what is a menu, advert or comment by its whole name goes."""
+    article = '<article><h1 id="comments">Head {n}</h1><div class="elementor-widget-container"><p>Para {n} of text</p></div><h2 id="related-work">Related</h2><section id="share-prices"><p class="notice">Prices {n}</p></section><div id="social-policy">Policy</div><div class="related-posts"><a href="/1">Other post</a></div><div class="comment-list"><p>Nope</p></div></article>'
+    want = "Head {n}\n\nPara {n} of text\n\nRelated\n\nPrices {n}\n\nPolicy"
+    around = ['<div class="content-sidebar-wrap">', '<div class="layout has-sidebar">', '<div class="sidebar">', "<form>"]
+    pages = [(10 * k + n, f"http://h{k}.org/{n}", f"<html><body><nav>Menu</nav>{start}{article.format(n=n)}") for k, start in enumerate(around) for n in range(3)]
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == {i: want.format(n=i % 10) for i, _, _ in pages}
+    plain = '<body><div class="ad">Buy</div><div class="widget"><p>All of the text of this page</p></div><div class="page-sidebar"><a href="/">A link</a></div>'
+    assert html_extract.text_of(plain, None) == "All of the text of this page"
+    talk = '<body><article><p>Short</p><div id="comments" class="comments-area"><article class="comment-body"><p>Much longer than the article is</p></article></div></article>'
+    assert html_extract.text_of(talk, None) == "Short"
+
+
 def test_wrapper_alignment():
     a, b = (html_extract.wrapper(x) for x in ("<div><h1>x</h1><p>a</p><p>b</p></div>", "<div><h1>y</h1><img><ul><li>1</li><li>2</li></ul><p>c</p></div>"))
     html_extract._unite(a, b)
