@@ -60,11 +60,11 @@ def _block_links(threshold: float):
         i, j = key[1].as_py(), key[2].as_py()
         rows = rows.combine_chunks()
         vectors = rows.column("embedding").combine_chunks()
-        block, rep, copies = rows.column("block").to_numpy(), rows.column("rep").combine_chunks(), rows.column("copies").to_numpy()
+        block, number, copies = rows.column("block").to_numpy(), rows.column("number").to_numpy(), rows.column("copies").to_numpy()
         x = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(block), -1)
         left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
         if not len(left) or not len(right):
-            return pa.table({"a": rep.slice(0, 0), "b": rep.slice(0, 0), "n": pa.array([], pa.int64())})
+            return pa.table({"a": number[:0], "b": number[:0], "n": pa.array([], pa.int64())})
         a = Quantised(x[left])
         b = a if i == j else Quantised(x[right])
         links, forest = np.zeros(len(block), np.int64), Forest(len(block))
@@ -77,7 +77,7 @@ def _block_links(threshold: float):
                 links += np.bincount(p, copies[q], len(block)).astype(np.int64) + np.bincount(q, copies[p], len(block)).astype(np.int64)
                 forest.add(p, q)
         hit = np.flatnonzero(links)
-        return pa.table({"a": rep.take(pa.array(hit)), "b": rep.take(pa.array(forest.roots(hit))), "n": pa.array(links[hit])})
+        return pa.table({"a": number[hit], "b": number[forest.roots(hit)], "n": links[hit]})
 
     return run
 
@@ -85,33 +85,36 @@ def _block_links(threshold: float):
 def dedup(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """Links between vectors of cosine >= threshold: (id, n_links, component_id, kept).
 
-    Equal vectors form a class with a representative and a count (pre-aggregated), so copies are never compared. The
+    Equal vectors form a class with a number, its smallest id and a count (pre-aggregated), so copies are never compared. The
     classes are dealt by hash into blocks of about BLOCK_ROWS, and each pair of blocks is one task of bounded size that returns link counts and
     a spanning forest, never pairs. The number of block pairs grows with the square of the table: this is the exact comparison of all
     with all that the threshold asks for, at int8 cost.
 
     Null, empty and zero vectors, and those that hold null or non-finite elements, link with nothing and are their own component.
     Vectors of different lengths don't link. Rows that share an id are separate vectors of one name: each counts as a link of the other
-    where they link, and their components are one. An empty table gives no rows. Other columns are not read.
+    where they link, and their components are one. Rows without an id link and join others like any row; a component is named by its smallest
+    id, null where none of its rows has one, and a row without an id is never the one kept. An empty table gives no rows. Other columns are not read.
     """
-    kind = vectors.schema[id_col].dataType.simpleString()
     v = F.col("embedding")
     base = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("embedding"))
     finite = F.forall(v, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf"))) & F.exists(v, lambda e: e != 0)
     base = base.withColumn("valid", F.coalesce(finite, F.lit(False)))
-    classes = table(base.where("valid").groupBy("embedding").agg(F.min("id").alias("rep"), F.count("*").alias("copies")))
+    classes = base.where("valid").groupBy("embedding").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
+    classes = table(classes.withColumn("number", F.monotonically_increasing_id()))  # numbers are fixed once written
     n = classes.count()
     blocks = max(1, -(-n // BLOCK_ROWS), min(MIN_BLOCKS, n // 512))
     block = F.pmod(F.xxhash64("embedding"), F.lit(blocks)).cast("int")
     placed = classes.withColumn("block", block).withColumn("dim", F.size("embedding"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    placed = placed.select("dim", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "copies", "embedding")
+    placed = placed.select("dim", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "number", "copies", "embedding")
     tasks = min(2_000, blocks * (blocks + 1))
-    found = table(placed.repartition(tasks, "dim", "i", "j").groupBy("dim", "i", "j").applyInArrow(_block_links(threshold), f"a {kind}, b {kind}, n bigint"))
+    found = table(placed.repartition(tasks, "dim", "i", "j").groupBy("dim", "i", "j").applyInArrow(_block_links(threshold), "a bigint, b bigint, n bigint"))
     parts = connected_components(found.select("a", "b").union(_shared_ids(base, classes)))
     links = found.groupBy("a").agg(F.sum("n").alias("n"))
-    known = classes.join(links, F.col("rep") == F.col("a"), "left").join(parts, F.col("rep") == F.col("node"), "left")
-    known = known.select(F.col("embedding").alias("e"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("component", "rep").alias("part"))
+    known = classes.join(links, F.col("number") == F.col("a"), "left").join(parts, F.col("number") == F.col("node"), "left")
+    known = known.select(F.col("embedding").alias("e"), "rep", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("component", "number").alias("c"))
+    names = known.groupBy("c").agg(F.min("rep").alias("part"))
+    known = known.drop("rep").join(names, "c").drop("c")
     out = base.join(known, F.col("valid") & (v == F.col("e")), "left")
     component = F.coalesce("part", "id")
     return out.select(F.col("id").alias(id_col), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))
@@ -120,4 +123,6 @@ def dedup(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec_id", v
 def _shared_ids(base: DataFrame, classes: DataFrame) -> DataFrame:
     """Edges that make the classes of one id one component."""
     again = base.where("valid and id is not null").groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id")
-    return base.where("valid").join(again, "id").join(classes.select(F.col("embedding").alias("e"), "rep"), F.col("embedding") == F.col("e")).select(F.col("id").alias("a"), F.col("rep").alias("b"))
+    named = base.where("valid").join(again, "id").join(classes.select(F.col("embedding").alias("e"), "number"), F.col("embedding") == F.col("e")).select("id", "number")
+    first = named.groupBy("id").agg(F.min("number").alias("first"))
+    return named.join(first, "id").select(F.col("number").alias("a"), F.col("first").alias("b"))

@@ -42,6 +42,16 @@ def test_embeddings(spark, monkeypatch):
     assert embedding_dedup.dedup(df.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("order", [1, -1])
+def test_embeddings_without_ids(spark, order):
+    """Vectors at 0, 15, 30 degrees and so on link with their neighbours only; those without an id take part."""
+    at = lambda degrees: [float(np.cos(np.radians(degrees))), float(np.sin(np.radians(degrees)))]
+    rows = [(1, 0), (None, 15), (2, 30), (None, 100), (None, 115), (7, 200), (None, 200), (8, 300), (8, 260)][::order]
+    got = embedding_dedup.dedup(spark.createDataFrame([(i, at(d)) for i, d in rows], "vec_id long, embedding array<float>")).collect()
+    want = [(1, 1, 1, True), (None, 2, 1, False), (2, 1, 1, False), (None, 1, None, False), (None, 1, None, False), (7, 1, 7, True), (None, 1, 7, False), (8, 0, 8, True), (8, 0, 8, True)]
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+
+
 def test_quantisation_bounds_hold():
     rng = np.random.default_rng(2)
     a, b = (embedding_dedup.Quantised(rng.normal(size=(300, 24)) * rng.uniform(0.01, 100, (300, 1))) for _ in "ab")
