@@ -38,7 +38,7 @@ def targets(sizes: DataFrame, weights: Sequence[float] = (5, 2, 1), budget: floa
     return s.withColumn("level", level).select("source", "source_size", target.alias("target"))
 
 
-def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), budget: float = 1.5, ceiling: float = 2.0, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), budget: float = 1.5, ceiling: float = 2.0, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", carry: Sequence[str] = ()) -> DataFrame:
     """One row per document with the words that the mix takes of it.
 
     Every source's documents are shuffled by a seeded hash and queued twice in a row (`ceiling` = 2 passes at most).
@@ -48,11 +48,12 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), budget: float = 1
     The cut is found on slice sums, and rows are ranked only in the slice where it falls.
 
     Null text has size 0; null is a source of its own, last. Documents of size 0 take 0 words. Repeated rows are
-    separate documents. An empty table gives no rows. Columns besides the three named ones are not read.
-    Returns id, size, source, source_size, target, taken (0, size or 2 x size).
+    separate documents. An empty table gives no rows. Columns besides the three named ones and `carry` are not read.
+    Returns id, size, source, source_size, target, taken (0, size or 2 x size), and with `carry` the document's columns of those names as struct `rest`.
     """
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    base = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).alias("r"))
+    rest = [F.struct(*carry).alias("rest")] if carry else []
+    base = docs.select(*rest, F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).alias("r"))
     base = table(base.withColumn("slice", F.shiftrightunsigned("r", 52).cast("int")))
     slices = base.groupBy("source", "slice").agg(F.sum("size").alias("n"))
     goal = targets(slices.groupBy("source").agg(F.sum("n").alias("source_size")), weights, budget, ceiling)
@@ -64,7 +65,8 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), budget: float = 1
     for e in (1, 2):
         finish = (F.col("ahead") + within + F.lit(e - 1) * F.col("source_size")) / F.nullif(F.col("target"), F.lit(0.0))
         queue = queue.withColumn(f"t{e}", F.when(F.col("size") > 0, finish))
-    queue = table(queue.select("id", "source", "size", "r", "source_size", F.coalesce("target", F.lit(0.0)).alias("target"), "t1", "t2"))
+    rest = ["rest"] if carry else []
+    queue = table(queue.select(*rest, "id", "source", "size", "r", "source_size", F.coalesce("target", F.lit(0.0)).alias("target"), "t1", "t2"))
 
     bin_of = lambda t: F.least(F.floor(F.col(t) * SLICES), F.lit(4 * SLICES)).cast("int")
     entry = lambda e: F.struct(F.col(f"t{e}").alias("t"), F.col("r"), F.col("id"), F.lit(e).alias("e"))
@@ -82,4 +84,4 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), budget: float = 1
         inside = F.lit(False) if last is None else None
         fits = lambda e: inside if inside is not None else entry(e) <= F.struct(F.lit(last["t"]).alias("t"), F.lit(last["r"]).alias("r"), F.lit(last["id"]).cast(queue.schema["id"].dataType).alias("id"), F.lit(last["e"]).alias("e"))
         taken = sum(F.when(bin_of(f"t{e}") < edge["b"], 1).when((bin_of(f"t{e}") == edge["b"]) & fits(e), 1).otherwise(0) for e in (1, 2))
-    return queue.select(F.col("id").alias(id_col), "size", F.col("source").alias(source_col), "source_size", "target", (F.col("size") * taken).cast("long").alias("taken"))
+    return queue.select(F.col("id").alias(id_col), "size", F.col("source").alias(source_col), "source_size", "target", (F.col("size") * taken).cast("long").alias("taken"), *rest)

@@ -41,10 +41,13 @@ def benchmark_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of the mixture, with the words taken of each (its size once or twice) and its source's target."""
-    mixed = mixing.mix(docs).where("taken > 0").select(F.col("doc_id").alias("id_"), "size", "source_size", "target", "taken")
-    own = [c for c in docs.columns if c not in mixed.columns]
-    return docs.select(own).join(mixed, F.col("doc_id") == F.col("id_")).drop("id_")
+    """Documents of the mixture, with the words taken of each (its size once or twice) and its source's target. Null and repeated ids are documents like any."""
+    found = ["size", "source_size", "target", "taken"]
+    own = [c for c in docs.columns if c not in found]
+    # rows are numbered once, in a written table: texts would take an executor's memory in mix()'s windows, and ids may be null or repeat
+    docs = table(docs.select(*own, F.monotonically_increasing_id().alias("row_")))
+    mixed = mixing.mix(docs, carry=("row_",)).where("taken > 0").select(F.col("rest.row_").alias("row_"), *found)
+    return docs.join(mixed, "row_").select(*own, *found)
 
 
 STAGES = [

@@ -8,7 +8,7 @@ import duckdb
 import pytest
 
 import corpus_pipeline
-from biblioflow.llm import _queries
+from biblioflow.llm import _queries, mixing
 from biblioflow.llm._shared import table
 from biblioflow.llm.simhash import fingerprint
 
@@ -55,6 +55,20 @@ def test_stages(spark):
     assert set(mixed) <= set(clean) and all(r.taken in (r["size"], 2 * r["size"]) for r in mixed.values())
 
 
+def test_mixture_returns_every_row_it_counts(spark):
+    """A null id and rows of one id: the stage's rows are those that mix() takes, each once."""
+    rows = [(i, f"some words of text {i} " * (i + 1), "en", f"s{i % 2}", i) for i in range(12)]
+    rows += [rows[3], rows[3], (3, "another text of that id", "en", "s1", 7), (None, "no id but words", "de", "s0", 8), (None, "nor here", None, None, 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.mixture(spark, docs, SF)
+    assert got.columns == [*docs.columns, "size", "source_size", "target", "taken"]
+    taken = [r for r in mixing.mix(docs).collect() if r.taken]
+    key = lambda rows: sorted(repr((r.doc_id, r.source, r["size"], r.taken)) for r in rows)
+    got = got.collect()
+    assert key(got) == key(taken) and sum(r.doc_id is None for r in got) > 0
+    assert all((r.doc_id, r.text, r.lang, r.source, r.n_chars) in rows and r["size"] == len(r.text.split()) for r in got)
+
+
 @pytest.mark.parametrize("name", sorted(_queries.oracle_sql()))
 def test_query_equals_its_sql(spark, name):
     db = duckdb.connect()
