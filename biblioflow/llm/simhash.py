@@ -169,29 +169,48 @@ def links(fps: DataFrame, radius: int) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, shingle: int = 3, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows of the document of smallest id of each group, with the columns of docs. A repeated row stays once; a null id stays where its group has no other."""
-    groups = dedup(docs, shingle, radius, id_col, text_col)
-    stay = table(groups.where(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(F.col(id_col).alias("id_")).agg(F.count("*").alias("n")))
-    kept = docs.join(stay.select("id_"), F.col(id_col).eqNullSafe(F.col("id_")), "left_semi")
-    return kept.dropDuplicates([id_col]) if stay.where("n > 1").limit(1).count() else kept
+    """Rows of the document of smallest id of each group, with the columns of docs. A repeated row stays once. Of a group without ids, one row of its
+    smallest fingerprint stays, that of the least text."""
+    marked = table(fingerprints(docs, shingle, id_col, text_col))
+    classes = table(_classes(marked, radius))
+    named = marked.where("id is not null").join(classes, F.col("fp") == F.col("fp_")).where(F.col("id") == F.col("component_id"))
+    stay = table(named.groupBy(F.col("id").alias("id_")).agg(F.count("*").alias("n")))
+    kept = docs.join(stay.select("id_"), F.col(id_col) == F.col("id_"), "left_semi")
+    kept = kept.dropDuplicates([id_col]) if stay.where("n > 1").limit(1).count() else kept
+    nameless = classes.where("component_id is null and fp_ = group").select("fp_")
+    if not nameless.limit(1).count():
+        return kept
+
+    def run(column):
+        return pa.array(np.fromiter((fingerprint(x.as_py(), shingle) for x in column), np.uint64, len(column)).view(np.int64))
+
+    rows = docs.where(F.col(id_col).isNull()).select(F.arrow_udf(run, "bigint", F.ArrowUDFType.SCALAR)(F.col(text_col)).alias("fp"), F.struct("*").alias("row"), F.coalesce(text_col, F.lit("")).alias("least"))
+    rows = rows.groupBy("fp").agg(F.min_by("row", "least").alias("row"))
+    return kept.unionByName(rows.join(nameless, F.col("fp") == F.col("fp_"), "left_semi").select("row.*"))
 
 
 def dedup(docs: DataFrame, shingle: int = 3, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Groups of documents whose fingerprints link at `radius` or fewer differing bits, directly or through others.
 
     Returns (id, fingerprint as 16 hex digits, component_id = smallest id of the group, itself included). Equal
-    fingerprints form a class with one representative (pre-aggregated), so copies are never compared; trees and
+    fingerprints form a class (pre-aggregated), so copies are never compared; trees and
     components work on classes. Null and empty texts have fingerprint zero, linked like any other. Rows that share an
-    id are nodes of one name: each is returned, their groups are one. A null id is returned with its class's component. An
-    empty table gives no rows. Only the two named columns are read.
+    id are nodes of one name: each is returned, their groups are one. Rows with a null id form groups by text like any other; the component
+    is null where no row of a group has an id. An empty table gives no rows. Only the two named columns are read.
     """
     marked = table(fingerprints(docs, shingle, id_col, text_col))
+    out = marked.join(_classes(marked, radius), F.col("fp") == F.col("fp_"))
+    return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _classes(marked: DataFrame, radius: int) -> DataFrame:
+    """(fp_, group, component_id) of every fingerprint of (id, fp): the smallest fingerprint of its group, and the group's smallest id."""
     reps = table(marked.groupBy("fp").agg(F.min("id").alias("rep")))
-    edges = links(reps.where("rep is not null"), radius)
+    edges = links(reps.select("fp", F.col("fp").alias("rep")), radius)
     # one id with several texts joins their classes
-    shared = marked.groupBy("id").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi"), F.count("*").alias("n")).where("n > 1 and lo <> hi and id is not null").select("id")
-    same = marked.join(shared, "id").join(reps, "fp").select(F.col("id").alias("a"), F.col("rep").alias("b"))
+    shared = marked.groupBy("id").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo <> hi and id is not null").select("id", "lo")
+    same = marked.join(shared, "id").select(F.col("fp").alias("a"), F.col("lo").alias("b")).distinct()
     parts = connected_components(edges.union(same))
-    classes = reps.join(parts, F.col("rep") == F.col("node"), "left").select(F.col("fp").alias("fp_"), F.coalesce("component", "rep").alias("component_id"))
-    out = marked.join(classes, F.col("fp") == F.col("fp_"))
-    return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    placed = reps.join(parts, F.col("fp") == F.col("node"), "left").select("fp", "rep", F.coalesce("component", "fp").alias("group"))
+    names = placed.groupBy("group").agg(F.min("rep").alias("component_id"))
+    return placed.join(names, "group").select(F.col("fp").alias("fp_"), "group", "component_id")

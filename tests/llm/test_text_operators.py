@@ -119,6 +119,20 @@ def test_simhash(rows, docs):
     assert simhash.dedup(none(docs)).count() == 0
 
 
+def test_simhash_rows_without_ids(spark, monkeypatch):
+    """They form groups by text like any other: links through them count, a group without ids keeps one row, and one with an id none of them."""
+    monkeypatch.setattr(simhash, "fingerprint", lambda text, shingle: int(text))  # texts that are their own fingerprint
+    far = [0xFF00, 0xFF0000, 0xFF000000, 0xFF00000000]
+    rows = [(1, 0), (None, 3), (2, 15), (None, far[0]), (None, far[0]), (None, far[0] + 3), (None, far[1]), (7, far[2]), (None, far[2] + 1), (9, far[3]), (9, far[3])]
+    docs = spark.createDataFrame([(i, str(x), f"r{x}") for i, x in rows], "doc_id long, text string, row string").repartition(3)
+    part = {0: 1, 3: 1, 15: 1, far[0]: None, far[0] + 3: None, far[1]: None, far[2]: 7, far[2] + 1: 7, far[3]: 9}
+    got = simhash.dedup(docs).collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(repr((i, f"{x:016x}", part[x])) for i, x in rows)
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted(map(repr, map(tuple, kept.collect()))) == sorted(repr((i, str(x), f"r{x}")) for i, x in [(1, 0), (None, far[0]), (None, far[1]), (7, far[2]), (9, far[3])])
+
+
 def test_simhash_trees_find_all_pairs(spark, monkeypatch):
     """Many shards, clustered fingerprints: no pair across shards is lost."""
     monkeypatch.setattr(simhash, "SHARD_ROWS", 64)
