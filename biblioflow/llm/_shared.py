@@ -3,20 +3,24 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import time
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset a temporary one serves a local master, whose
+    executors are threads of the driver; on a cluster no machine's own folder will do, so that is an error."""
     sc = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not found:
-        found = sc.getCheckpointDir() or tempfile.mkdtemp(prefix="biblioflow-")
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
+        found = tempfile.mkdtemp(prefix="biblioflow-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(found)
     return found
@@ -29,6 +33,19 @@ def table(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def quoted(name: str) -> Column:
+    """The column of exactly this name, whatever dots or back-quotes it holds."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """`name`, with underscores added until df has no column of it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark's cleaner delete the shuffle files of finished jobs now, rather than whenever the driver collects its garbage.
 
@@ -45,7 +62,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: i
 
     Alternating large-star and small-star steps: each step replaces the neighbours of a node by links to the
     smallest of them. Minima are pre-aggregated, no neighbour list is ever gathered, and each step is cut by
-    checkpoint(). Self-loops and null ends are dropped, so isolated nodes are absent from the result.
+    checkpoint(). So are the minima, since Spark splits the hot key of a join (the hub of a giant component) only where both
+    sides come straight from their shuffles. Self-loops and null ends are dropped, so isolated nodes are absent from the result.
     """
     shared_dir(edges.sparkSession)
     links = (
@@ -61,9 +79,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: i
     before = digest(links)
     for _ in range(rounds):
         both = links.select("u", "v").union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")).checkpoint()
+        large = both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct().checkpoint()
+        least = large.groupBy("u").agg(F.min("v").alias("m")).checkpoint()
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(least.select("u", F.col("m").alias("v")))
         links = small.distinct().checkpoint()
         after = digest(links)
