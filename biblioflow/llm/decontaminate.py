@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import table
+from ._shared import quoted, table
 from ._words import windows
 
 #: A word: digits, ASCII letters and everything beyond ASCII; texts are lower-cased in A-Z only.
@@ -127,7 +127,7 @@ def _match(index, last: bool):  # columns id, text, items, spans, rest
             for text, items, spans in zip(batch.column(1), batch.column(2), batch.column(3), strict=True):
                 numbers = x.numbers(text.as_py())
                 mark, found = x.hits(numbers)
-                items, spans = sorted(items.as_py() + [str(x.names[i]) for i in found]), spans.as_py()
+                items, spans = sorted({*items.as_py(), *(x.names[i] for i in found if x.names[i] is not None)}), spans.as_py()
                 rows.append((items, _merged([spans, _ranges(mark)]) if spans else _ranges(mark), len(numbers)))
             items, spans = pa.array([r[0] for r in rows], pa.list_(pa.string())), pa.array([r[1] for r in rows], pa.list_(pa.int64()))
             if not last:
@@ -161,8 +161,9 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = 13, id_col: str =
     The benchmark is held in blocks of at most about BLOCK_WORDS words, the size that is broadcast; a larger one takes more
     passes over the documents, each adding its marks to the rows. Documents are never shuffled.
 
-    Null and empty texts have no words and hit nothing; items without words have no window; equal items are all named.
-    Repeated document rows are judged each. Empty tables give no rows, or no hits. Only the named columns are read.
+    Null and empty texts have no words and hit nothing; items without words have no window; equal items are all named. An item id on several
+    rows is one item with the windows of all; the windows of rows without an id hit words, but name nothing. Repeated document rows are
+    judged each. Empty tables give no rows, or no hits. Only the named columns are read, whatever else there is and is called.
     Returns (id, n_words, n_hit, items, items_sha256, spans, rest): spans are starts and ends of the runs of words hit, in turn; rest is a
     struct of the columns named in `carry`, which ride along.
     """
@@ -172,7 +173,7 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = 13, id_col: str =
     total = bench.agg(F.sum(F.length("t"))).first()[0] or 0
     blocks = max(1, -(-total // (6 * (block_words or BLOCK_WORDS))))
     block_of = F.pmod(F.xxhash64("item", "t"), F.lit(blocks))
-    rest = F.struct(*[F.col(c) for c in carry]) if carry else F.lit(None).cast("int")
+    rest = F.struct(*[quoted(c) for c in carry]) if carry else F.lit(None).cast("int")
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), rest.alias("rest"))
     rest_type = base.schema["rest"].dataType.simpleString()
     rows = base.select("id", "text", F.array().cast("array<string>").alias("items"), F.array().cast("array<bigint>").alias("spans"), "rest")
