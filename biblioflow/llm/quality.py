@@ -174,19 +174,23 @@ def _column_features(column: pa.Array) -> np.ndarray:
 def fit(docs: DataFrame, labels: DataFrame, usable: Column, train_rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
     """Learns from at most `train_rows` labelled rows (a bounded, so broadcast, list of ids) where `usable`, a condition on the id column, holds.
 
-    Labels are joined to their documents only here; a score reads nothing but the text. Null labels are left out. Without labels, or with one
-    class only, every score is that share.
+    Labels are joined to their documents only here; a score reads nothing but the text. Null labels and null ids are left out. Of several
+    labels of an id the smallest counts; of several texts of an id, the one of smallest hash, so one row at most is learned for each id.
+    Without labels, or with one class only, every score is that share. Other columns are not read.
     """
     picked = labels.where(usable & F.col(label_col).isNotNull()).select(F.col(id_col).alias("id_"), F.col(label_col).cast("double").alias("y"))
-    picked = picked.dropDuplicates(["id_"]).orderBy(F.xxhash64("id_"), "id_").limit(train_rows)
+    picked = picked.where("id_ is not null").groupBy("id_").agg(F.min("y").alias("y")).orderBy(F.xxhash64("id_"), "id_").limit(train_rows)
 
     def run(batches):
         for batch in batches:
-            x = _column_features(batch.column(1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(x.astype(np.float64)), pa.list_(pa.float64()))], ["y", "x"])
-
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(picked), F.col("id") == F.col("id_")).select("y", "text")
-    got = sorted((r["y"], *r["x"]) for r in rows.mapInArrow(run, "y double, x array<double>").limit(2 * train_rows).collect())
+            x = _column_features(batch.column(3))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(list(x.astype(np.float64)), pa.list_(pa.float64()))], ["id", "h", "y", "x"])
+
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(picked), F.col("id") == F.col("id_"))
+    kind = docs.schema[id_col].dataType.simpleString()
+    rows = texts.select("id", F.xxhash64("text").alias("h"), "y", "text").mapInArrow(run, f"id {kind}, h bigint, y double, x array<double>")
+    one = rows.groupBy("id").agg(F.min(F.struct("h", "y", "x")).alias("r")).select("r.y", "r.x")
+    got = sorted((r["y"], *r["x"]) for r in one.collect())
     table = np.array(got, float).reshape(len(got), len(FEATURES) + 1)
     return Model(table[:, 1:], table[:, 0])
 
