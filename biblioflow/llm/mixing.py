@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import table
+from ._shared import quoted, table
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Slices of a source's shuffled queue, and of the merged queue. Both are fixed, so the tables of slice sums are
-#: bounded by sources x SLICES rows and by 2 x SLICES + 2 rows whatever the input.
+#: bounded by sources x SLICES rows and by (passes + 2) x SLICES + 1 rows whatever the input.
 SLICES = 4096
 
 
@@ -41,7 +42,7 @@ def targets(sizes: DataFrame, weights: Sequence[float] = (5, 2, 1), budget: floa
 def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), budget: float = 1.5, ceiling: float = 2.0, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", carry: Sequence[str] = ()) -> DataFrame:
     """One row per document with the words that the mix takes of it.
 
-    Every source's documents are shuffled by a seeded hash and queued twice in a row (`ceiling` = 2 passes at most).
+    Every source's documents are shuffled by a seeded hash and queued in as many passes in a row as `ceiling` allows (2 passes for 2).
     An entry's virtual finish time is the source's words up to and with it over the source's target; the merged queue
     is sorted by finish time and cut where the budget of words is used up. Running sums are two-level: sums of hash
     slices (pre-aggregated), then a window within a slice, so that neither a source nor the queue meets in one task.
@@ -49,10 +50,10 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), budget: float = 1
 
     Null text has size 0; null is a source of its own, last. Documents of size 0 take 0 words. Repeated rows are
     separate documents. An empty table gives no rows. Columns besides the three named ones and `carry` are not read.
-    Returns id, size, source, source_size, target, taken (0, size or 2 x size), and with `carry` the document's columns of those names as struct `rest`.
+    Returns id, size, source, source_size, target, taken (size times the passes taken), and with `carry` the document's columns of those names as struct `rest`.
     """
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    rest = [F.struct(*carry).alias("rest")] if carry else []
+    rest = [F.struct(*[quoted(x) for x in carry]).alias("rest")] if carry else []
     base = docs.select(*rest, F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).alias("r"))
     base = table(base.withColumn("slice", F.shiftrightunsigned("r", 52).cast("int")))
     slices = base.groupBy("source", "slice").agg(F.sum("size").alias("n"))
@@ -62,26 +63,27 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), budget: float = 1
     plan = plan.select("source_", F.col("slice").alias("slice_"), "ahead", "source_size", "target")
     queue = base.join(plan, F.col("source").eqNullSafe(F.col("source_")) & (F.col("slice") == F.col("slice_")))
     within = F.sum("size").over(Window.partitionBy("source", "slice").orderBy("r", "id", "size").rowsBetween(Window.unboundedPreceding, 0))
-    for e in (1, 2):
+    passes = range(1, math.ceil(ceiling) + 1)
+    for e in passes:
         finish = (F.col("ahead") + within + F.lit(e - 1) * F.col("source_size")) / F.nullif(F.col("target"), F.lit(0.0))
         queue = queue.withColumn(f"t{e}", F.when(F.col("size") > 0, finish))
     rest = ["rest"] if carry else []
-    queue = table(queue.select(*rest, "id", "source", "size", "r", "source_size", F.coalesce("target", F.lit(0.0)).alias("target"), "t1", "t2"))
+    queue = table(queue.select(*rest, "id", "source", "size", "r", "source_size", F.coalesce("target", F.lit(0.0)).alias("target"), *[f"t{e}" for e in passes]))
 
-    bin_of = lambda t: F.least(F.floor(F.col(t) * SLICES), F.lit(4 * SLICES)).cast("int")
+    bin_of = lambda t: F.least(F.floor(F.col(t) * SLICES), F.lit((len(passes) + 2) * SLICES)).cast("int")
     entry = lambda e: F.struct(F.col(f"t{e}").alias("t"), F.col("r"), F.col("id"), F.lit(e).alias("e"))
-    entries = queue.select("size", F.inline(F.array(*[F.struct(bin_of(f"t{e}").alias("b"), entry(e).alias("entry")) for e in (1, 2)]))).where("b is not null")
+    entries = queue.select("size", F.inline(F.array(*[F.struct(bin_of(f"t{e}").alias("b"), entry(e).alias("entry")) for e in passes]))).where("b is not null")
     words = goal.agg(F.round(F.sum("target"), 3)).first()[0] or 0.0
     bins = entries.groupBy("b").agg(F.sum("size").alias("n"))
     bins = bins.withColumn("upto", F.sum("n").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, 0)))
     edge = bins.where(F.col("upto") > words).orderBy("b").first()  # the slice of the merged queue in which the budget ends
     if edge is None:
-        taken = F.when(F.col("t1").isNull(), 0).otherwise(2)
+        taken = F.when(F.col("t1").isNull(), 0).otherwise(len(passes))
     else:
         at = entries.where(F.col("b") == edge["b"])
         used = F.lit(edge["upto"] - edge["n"]) + F.sum("size").over(Window.orderBy("entry").rowsBetween(Window.unboundedPreceding, 0))
         last = at.withColumn("used", used).where(F.col("used") <= words).agg(F.max("entry").alias("x")).first()["x"]
         inside = F.lit(False) if last is None else None
         fits = lambda e: inside if inside is not None else entry(e) <= F.struct(F.lit(last["t"]).alias("t"), F.lit(last["r"]).alias("r"), F.lit(last["id"]).cast(queue.schema["id"].dataType).alias("id"), F.lit(last["e"]).alias("e"))
-        taken = sum(F.when(bin_of(f"t{e}") < edge["b"], 1).when((bin_of(f"t{e}") == edge["b"]) & fits(e), 1).otherwise(0) for e in (1, 2))
+        taken = sum(F.when(bin_of(f"t{e}") < edge["b"], 1).when((bin_of(f"t{e}") == edge["b"]) & fits(e), 1).otherwise(0) for e in passes)
     return queue.select(F.col("id").alias(id_col), "size", F.col("source").alias(source_col), "source_size", "target", (F.col("size") * taken).cast("long").alias("taken"), *rest)
