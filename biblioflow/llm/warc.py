@@ -8,6 +8,8 @@ import re
 import struct
 import uuid
 from collections.abc import Iterator
+from itertools import chain
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -23,6 +25,8 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-dig
 SEPARATOR = "P*M\x18\x00\x00\x00\x00"
 #: What an archive's dictionary is built from (its first records, up to so many bytes), and the dictionary's size.
 SAMPLE_BYTES, DICTIONARY_BYTES = 1 << 20, 16 << 10
+#: A partition rolls over to a new archive after so many bytes of records, or rows of Spark's writer (the dictionary is one).
+ARCHIVE_BYTES, ARCHIVE_ROWS = 256 << 20, 16_384
 BATCH = 256
 
 
@@ -31,7 +35,8 @@ def digest(payload: bytes) -> str:
 
 
 def name(page_id) -> str:
-    return f"<urn:page:{'' if page_id is None else page_id}>"
+    """A record's URI. Of an id of any type, what a header or the URI can't hold is percent-encoded; null has none."""
+    return f"<urn:page:{'' if page_id is None else quote(str(page_id), safe=':')}>"
 
 
 def record(page_id, url: str | None, payload: bytes, rep, date: str) -> bytes:
@@ -72,38 +77,46 @@ def _archive(level: int, date: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        source, first, size = records(batches), [], 0
-        for r in source:
-            first.append(r)
-            size += len(r)
-            if size >= SAMPLE_BYTES:
-                break
-        if not first:
-            return
-        known = dictionary(first)
-        pack = zstandard.ZstdCompressor(level=level, dict_data=known, write_content_size=True)
-        raw = known.as_bytes()
-        out = [struct.pack("<II", DICTIONARY_MAGIC, len(raw)) + raw]
-        for part in (first, source):
-            for r in part:
+        batch_of = lambda rows: pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], ["frame"])
+        source = records(batches)
+        rest = next(source, None)
+        while rest is not None:
+            first, size = [rest], len(rest)
+            rest = None
+            while size < SAMPLE_BYTES and len(first) + 1 < ARCHIVE_ROWS and (r := next(source, None)) is not None:
+                first.append(r)
+                size += len(r)
+            known = dictionary(first)
+            pack = zstandard.ZstdCompressor(level=level, dict_data=known, write_content_size=True)
+            raw = known.as_bytes()
+            out, rows = [struct.pack("<II", DICTIONARY_MAGIC, len(raw)) + raw], 1
+            for r in chain(first, source):
+                if rows > len(first) and (size >= ARCHIVE_BYTES or rows == ARCHIVE_ROWS):
+                    rest = r  # begins the next archive
+                    break
                 out.append(pack.compress(r))
+                rows += 1
+                size += len(r) if rows > len(first) + 1 else 0
                 if len(out) >= BATCH:
-                    yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["frame"])
+                    yield batch_of(out)
                     out = []
-        yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["frame"])
+            if rest is not None:  # the writer begins a file after ARCHIVE_ROWS rows; an empty row is its separator alone, a skippable frame
+                out += [b""] * (ARCHIVE_ROWS - rows)
+            yield batch_of(out)
 
     return run
 
 
 def write(pages: DataFrame, path: str, min_bytes: int = 0, level: int = 3, date: str = "1970-01-01T00:00:00Z", id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> None:
-    """Writes one archive per partition to the folder `path`, by Spark's own committer to any file system it knows.
+    """Writes archives to the folder `path`, by Spark's own committer to any file system it knows: one per partition, or several where it holds more
+    than ARCHIVE_BYTES of records, so that an archive stays small enough to be read by one task (but for a single larger page).
 
     Among records of equal payloads (SHA-1, and at least `min_bytes` long) the one of smallest id is the response and the others revisit it.
     Classes are pre-aggregated and only those of several records are joined back: a short list is broadcast by Spark's own size
     check and the payloads stay where they are; a long one has one row per key, so that hot payloads can be split.
 
     Null html is an empty payload; a null url is left out. Rows that repeat the smallest id of their class are all responses; a null id
-    revisits a known one. An empty table writes no record. Other columns are not read.
+    revisits a known one. Ids of any type are written so that no header is broken. An empty table writes no record. Other columns are not read.
     """
     base = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
     base = base.withColumn("key", F.when(F.octet_length("html") >= min_bytes, F.unhex(F.sha1("html"))))
@@ -111,7 +124,7 @@ def write(pages: DataFrame, path: str, min_bytes: int = 0, level: int = 3, date:
     joined = base.join(classes, F.col("key") == F.col("k"), "left")
     rep = F.when(~F.coalesce(F.col("id") == F.col("least"), F.lit(False)), F.col("least"))
     frames = joined.select("id", "url", "html", rep.alias("rep")).mapInArrow(_archive(level, date), "frame binary")
-    frames.select(F.col("frame").cast("string").alias("value")).write.option("lineSep", SEPARATOR).text(path)
+    frames.select(F.col("frame").cast("string").alias("value")).write.option("lineSep", SEPARATOR).option("maxRecordsPerFile", ARCHIVE_ROWS).text(path)
 
 
 def frames(data: bytes) -> Iterator[bytes]:
@@ -158,7 +171,7 @@ def read(spark: SparkSession, path: str, id_type: str = "bigint") -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = lambda x: x[len("<urn:page:") : -1] or None if x else None
+        number = lambda x: unquote(x[len("<urn:page:") : -1]) or None if x else None
 
         def pack(rows):
             columns = list(zip(*rows, strict=True))
