@@ -10,11 +10,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._forest import Forest
-from ._shared import connected_components, table
+from ._shared import connected_components, fresh, quoted, table
+from ._words import mix
 
 SEED = 42
-#: The routing tree is fitted on at most so many distinct fingerprints (lowest hashes of all), for shards of about SHARD_ROWS.
-SAMPLE, SHARD_ROWS, MAX_SHARDS = 32_768, 8_192, 1_024
+#: Shards are of about SHARD_ROWS, and there are about SHARDS of them, until that would take them over LARGE_ROWS: then there are more. The routing tree
+#: is fitted on at most SAMPLE distinct fingerprints, or SAMPLE_EACH a shard (lowest hashes of all).
+SHARD_ROWS, SHARDS, LARGE_ROWS, SAMPLE, SAMPLE_EACH = 8_192, 1_024, 1 << 20, 32_768, 16
+#: A shard's rows, as the sample foretells them, are dealt to pieces of so many that live there, and so many that ask there or four times those that live there.
+HOME_ROWS, ASK_ROWS = 1 << 20, 1 << 15
 LEAF = 96
 
 
@@ -48,7 +52,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], ["id", "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, fp bigint")
+    return docs.select(quoted(id_col).alias("id"), quoted(text_col).alias("text")).mapInArrow(run, f"id {kind}, fp bigint")
 
 
 def distance(a: np.ndarray, b) -> np.ndarray:
@@ -140,53 +144,82 @@ def links(fps: DataFrame, radius: int) -> DataFrame:
     """(a, b) edges between fingerprints of table (fp, rep): as many as it takes to connect what pairs within `radius` connect.
 
     Shards are leaves of a small vantage-point tree; a fingerprint lives in one shard and asks in every other that the triangle bound cannot
-    rule out, so each pair meets in a shard. A shard gives a spanning forest of its pairs, never the pairs.
+    rule out, so each pair meets in a shard. Where the sample foretells a crowded shard, its living and its asking rows are dealt into blocks, and each
+    pair of blocks is a piece of its own: whatever a shard holds, a task's rows are bounded and no pair is lost. A piece gives a spanning
+    forest of its pairs, never the pairs.
     """
     n = fps.count()
-    leaves = min(MAX_SHARDS, max(1, -(-n // SHARD_ROWS)))
-    sample = np.array([r[0] for r in fps.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()], np.int64).view(np.uint64) if leaves > 1 else np.zeros(0, np.uint64)
+    leaves = max(1, min(SHARDS, -(-n // SHARD_ROWS)), -(-n // LARGE_ROWS))
+    size = max(SAMPLE, SAMPLE_EACH * leaves)
+    sample = np.array([r[0] for r in fps.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(size).collect()], np.int64).view(np.uint64)
     tree = routing_tree(sample, leaves, radius)
+    lives, asks = np.ones(leaves, np.int64), np.ones(leaves, np.int64)
+    for leaf, rows, home in route(tree, sample, radius):
+        here, there = (int(x) * n / len(sample) for x in (home.sum(), len(rows)))
+        lives[leaf] = max(1, round(here / HOME_ROWS))
+        asks[leaf] = max(1, round(there / max(ASK_ROWS, 4 * here / lives[leaf])))
+    first = np.concatenate([[0], np.cumsum(lives * asks)])  # number of each shard's first piece
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values = batch.column(0).to_numpy().view(np.uint64)
+            lot = mix(values.copy())
             for leaf, rows, home in route(tree, values, radius):
-                take = pa.array(rows)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), leaf, np.int32)), pa.array(home), batch.column(0).take(take), batch.column(1).take(take)], ["shard", "home", "fp", "rep"])
+                a, b = int(lives[leaf]), int(asks[leaf])
+                block, slice_ = (lot[rows] % np.uint64(a)).astype(np.int64), (lot[rows] // np.uint64(a) % np.uint64(b)).astype(np.int64)
+                for i in range(a):
+                    for j in range(b):
+                        here, asking = home & (block == i), slice_ == j
+                        use = here | asking
+                        if use.any():
+                            take = pa.array(rows[use])
+                            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(take), first[leaf] + i * b + j, np.int64)), pa.array(here[use]), pa.array(asking[use]), batch.column(0).take(take), batch.column(1).take(take)], ["piece", "home", "asks", "fp", "rep"])
 
     def pairs(key, shard):
-        values, home = shard.column("fp").to_numpy().view(np.uint64), shard.column("home").to_numpy(zero_copy_only=False)
+        values = shard.column("fp").to_numpy().view(np.uint64)
+        home, asking = (shard.column(x).to_numpy(zero_copy_only=False) for x in ("home", "asks"))
         forest = Forest(len(values))
-        tree_links(np.flatnonzero(home), np.arange(len(values)), values, radius, forest)
+        tree_links(np.flatnonzero(home), np.flatnonzero(asking), values, radius, forest)
         root = forest.roots(np.arange(len(values)))
         child = np.flatnonzero(root != np.arange(len(values)))
         rep = shard.column("rep").combine_chunks()
         return pa.table({"a": rep.take(pa.array(child)), "b": rep.take(pa.array(root[child]))})
 
     kind = fps.schema["rep"].dataType.simpleString()
-    placed = fps.select("fp", "rep").mapInArrow(spread, f"shard int, home boolean, fp bigint, rep {kind}")
-    return placed.repartition(leaves, "shard").groupBy("shard").applyInArrow(pairs, f"a {kind}, b {kind}")
+    pieces = int(first[-1])
+    placed = fps.select("fp", "rep").mapInArrow(spread, f"piece bigint, home boolean, asks boolean, fp bigint, rep {kind}")
+    # more partitions than pieces, so that few pieces share one; empty ones cost little
+    return placed.repartition(max(pieces, min(4 * pieces, 2_000)), "piece").groupBy("piece").applyInArrow(pairs, f"a {kind}, b {kind}")
 
 
 def keep_one(docs: DataFrame, shingle: int = 3, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows of the document of smallest id of each group, with the columns of docs. A repeated row stays once. Of a group without ids, one row of its
-    smallest fingerprint stays, that of the least text."""
+    """Rows of the document of smallest id of each group, with the columns of docs, whatever their names.
+
+    Of several rows of that id the one of least text stays (null first; of equal texts the least row as JSON), so a repeated row stays once. Of a group
+    without ids, one row of its smallest fingerprint stays, that of the least text.
+    """
     marked = table(fingerprints(docs, shingle, id_col, text_col))
     classes = table(_classes(marked, radius))
     named = marked.where("id is not null").join(classes, F.col("fp") == F.col("fp_")).where(F.col("id") == F.col("component_id"))
-    stay = table(named.groupBy(F.col("id").alias("id_")).agg(F.count("*").alias("n")))
-    kept = docs.join(stay.select("id_"), F.col(id_col) == F.col("id_"), "left_semi")
-    kept = kept.dropDuplicates([id_col]) if stay.where("n > 1").limit(1).count() else kept
-    nameless = classes.where("component_id is null and fp_ = group").select("fp_")
+    key, times, row, fp = (fresh(docs, x) for x in ("id_", "n_", "row_", "fp_"))
+    stay = table(named.groupBy(F.col("id").alias(key)).agg(F.count("*").alias(times)))
+    ident, text = quoted(id_col), quoted(text_col)
+    if not stay.where(F.col(times) > 1).limit(1).count():
+        kept = docs.join(stay.select(key), ident == F.col(key), "left_semi")
+    else:
+        found = docs.withColumn(row, F.struct("*")).join(stay, ident == F.col(key))
+        several = found.where(F.col(times) > 1).groupBy(key).agg(F.min_by(row, F.struct(text, F.to_json(row))).alias(row))
+        kept = found.where(F.col(times) == 1).select(f"{row}.*").union(several.select(f"{row}.*"))
+    nameless = classes.where("component_id is null and fp_ = group").select(F.col("fp_").alias(fp))
     if not nameless.limit(1).count():
         return kept
 
     def run(column):
         return pa.array(np.fromiter((fingerprint(x.as_py(), shingle) for x in column), np.uint64, len(column)).view(np.int64))
 
-    rows = docs.where(F.col(id_col).isNull()).select(F.arrow_udf(run, "bigint", F.ArrowUDFType.SCALAR)(F.col(text_col)).alias("fp"), F.struct("*").alias("row"), F.coalesce(text_col, F.lit("")).alias("least"))
-    rows = rows.groupBy("fp").agg(F.min_by("row", "least").alias("row"))
-    return kept.unionByName(rows.join(nameless, F.col("fp") == F.col("fp_"), "left_semi").select("row.*"))
+    rows = docs.where(ident.isNull()).select(F.arrow_udf(run, "bigint", F.ArrowUDFType.SCALAR)(text).alias("fp"), F.struct("*").alias("row"), F.coalesce(text, F.lit("")).alias("least"))
+    rows = rows.groupBy("fp").agg(F.min_by("row", F.struct("least", F.to_json("row"))).alias("row"))
+    return kept.union(rows.join(nameless, F.col("fp") == F.col(fp), "left_semi").select("row.*"))
 
 
 def dedup(docs: DataFrame, shingle: int = 3, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
