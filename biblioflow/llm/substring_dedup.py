@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import release, table
+from ._shared import quoted, release, table
 from ._words import A, B, join, mix, spans, text_chunks, windows, word_hashes
 
 
@@ -152,7 +152,7 @@ def dedup(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: s
     """
     seed = (window + 1) // 2
     kind = docs.schema[id_col].dataType.simpleString()
-    rest = F.struct(*[F.col(c) for c in carry]) if carry else F.lit(None).cast("int")
+    rest = F.struct(*[quoted(c) for c in carry]) if carry else F.lit(None).cast("int")
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), rest.alias("rest"))
     seeds = base.select("id", "text").mapInArrow(_seeds(window, seed), f"id {kind}, p int, h bigint, span bigint")
     level1 = seeds.groupBy("h").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.min("span").alias("lo"), F.max("span").alias("hi")).where("least < most").select(F.col("h").alias("h_"), F.col("least"), (F.col("lo") != F.col("hi")).alias("mixed"))
