@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import gc
 import re
 import tempfile
-import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -46,17 +44,6 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark's cleaner delete the shuffle files of finished jobs now, rather than whenever the driver collects its garbage.
-
-    The cleaner follows weak references and works in the background, so it gets two turns and a moment after each.
-    """
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(1)
-
-
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
     """Smallest node reachable from every node of an undirected edge list, as (node, component).
 

@@ -4,172 +4,261 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import quoted, release, table
-from ._words import A, B, join, mix, spans, text_chunks, windows, word_hashes
+from ._shared import quoted
+from ._words import A, B, mix, spans, windows, word_hashes
 
+#: Shortest length of the first level: shorter runs of words repeat by chance.
+SHORTEST = 5
+#: About so many bytes of text are read as one chunk of documents, and the windows of about so many are compared in one bucket.
+CHUNK_BYTES, BUCKET_BYTES = 4 << 20, 8 << 20
+#: A level's questions and the marks kept between levels; its answers.
+ASKED = "dest bigint, chunk bigint, h binary, span binary, flags binary, ids array<{kind}>"
+TOLD = "chunk bigint, state boolean, h binary, span binary, flags binary, ids array<{kind}>"
+SEVERAL, MIXED = 1, 2
 
-def _runs(h: np.ndarray, rows: np.ndarray, window: int, seed: int) -> tuple[np.ndarray, ...]:
-    """Seeds of the windows of a chunk: position, first and last window start it stands for, seed hash, hash of the whole span.
 
-    Every window stands under one seed, the seed-length window inside it with the smallest hash (the first of equals),
-    so equal windows of two documents have equal seeds at equal places, and few positions are seeds.
-    """
-    none = np.zeros(0, np.int64)
-    n = len(h) - window + 1
-    if n <= 0:
-        return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
-    g, w = windows(h, seed), windows(h, window)
-    least, at = g[:n].copy(), np.zeros(n, np.int16)
-    for j in range(1, window - seed + 1):
-        lower = g[j : j + n] < least
-        np.copyto(least, g[j : j + n], where=lower)
-        at[lower] = j
-    # a window must end in the row in which it starts
-    whole = np.zeros(n, bool)
-    for a, b in zip(rows[:-1], rows[1:], strict=True):
-        whole[a : max(a, b - window + 1)] = True
-    starts = np.flatnonzero(whole)
-    if not len(starts):
-        return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
-    p = starts + at[starts]
-    new = np.empty(len(p), bool)
-    new[0] = True
-    new[1:] = (p[1:] != p[:-1]) | (starts[1:] != starts[:-1] + 1)
-    first = np.flatnonzero(new)
-    a, b, p = starts[first], starts[np.append(first[1:], len(p)) - 1], p[first]
-    span = mix(w[a] * A + w[b] * B + ((b - a) * 64 + (p - a)).astype(np.uint64))
-    return p, a, b, g[p], span
-
-
-def _chunks(column: pa.Array):
-    for at, data, offsets in text_chunks(column):
-        starts, ends, rows = spans(data, offsets)
-        yield at, data, starts, ends, rows
-
-
-def _seeds(window: int, seed: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column(0)
-            for at, data, starts, ends, rows in _chunks(batch.column(1)):
-                p, _, _, g, span = _runs(word_hashes(data, starts, ends), rows, window, seed)
-                row = np.searchsorted(rows, p, side="right") - 1
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(row + at)), pa.array((p - rows[row]).astype(np.int32)), pa.array(g.view(np.int64)), pa.array(span.view(np.int64))], ["id", "p", "h", "span"])
-
-    return run
-
-
-def _extend(window: int, seed: int):
-    """Window rows of the seeds in column 2 (positions; null for none)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            batch = batch.filter(batch.column(2).is_valid())
-            wanted = batch.column(2)
-            for at, data, starts, ends, rows in _chunks(batch.column(1)):
-                h = word_hashes(data, starts, ends)
-                p, a, b, g, _ = _runs(h, rows, window, seed)
-                w = windows(h, window)
-                row = np.searchsorted(rows, p, side="right") - 1
-                keep = np.zeros(len(h), bool)
-                for i in range(len(rows) - 1):
-                    q = wanted[at + i].values.to_numpy() + rows[i]
-                    keep[q[q < rows[i + 1]]] = True
-                keep = keep[p]
-                p, a, b, g, row = p[keep], a[keep], b[keep], g[keep], row[keep]
-                n = b - a + 1
-                s = np.repeat(a - np.cumsum(n) + n, n) + np.arange(n.sum())
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.repeat(row, n) + at)), pa.array((s - np.repeat(rows[row], n)).astype(np.int32)), pa.array(np.repeat(g, n).view(np.int64)), pa.array(w[s].view(np.int64))], ["id", "p", "h", "w"])
-
-    return run
-
-
-def _remove(window: int, seed: int):
-    """Words left: columns id, text, whole seeds, single windows, the rest."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            seeds, singles, text = batch.column(2), batch.column(3), batch.column(1)
-            n_words, n_removed, digests, left = [], [], [], []
-            for at, data, starts, ends, rows in _chunks(text):
-                some = np.array([seeds[at + i].is_valid for i in range(len(rows) - 1)])
-                p = a = b = np.zeros(0, np.int64)
-                if some.any():
-                    p, a, b, _, _ = _runs(word_hashes(data, starts, ends), rows, window, seed)
-                gone = np.zeros(len(starts) + 1, np.int32)
-                wanted = np.zeros(len(starts) + 1, bool)
-                for i in range(len(rows) - 1):
-                    if some[i]:
-                        q = seeds[at + i].values.to_numpy() + rows[i]
-                        wanted[q[q < rows[i + 1]]] = True
-                    if singles[at + i].is_valid:
-                        q = singles[at + i].values.to_numpy() + rows[i]
-                        q = q[q + window <= rows[i + 1]]
-                        np.add.at(gone, q, 1)
-                        np.add.at(gone, q + window, -1)
-                hit = wanted[p]
-                np.add.at(gone, a[hit], 1)
-                np.add.at(gone, b[hit] + window, -1)
-                drop = np.cumsum(gone)[:-1] > 0
-                raw = data.tobytes()
-                for i in range(len(rows) - 1):
-                    lo, hi = rows[i], rows[i + 1]
-                    d = drop[lo:hi]
-                    n_words.append(hi - lo)
-                    n_removed.append(int(d.sum()))
-                    s, e = starts[lo:hi][~d].tolist(), ends[lo:hi][~d].tolist()
-                    kept = b" ".join([raw[x:y] for x, y in zip(s, e, strict=True)])
-                    digests.append(hashlib.sha256(kept).hexdigest())
-                    left.append(kept.decode() if n_removed[-1] else text[at + i].as_py())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digests, pa.string()), pa.array(left, pa.string()), batch.column(4)], ["id", "n_words", "n_removed", "kept_sha256", "kept", "rest"])
-
-    return run
+def levels(window: int) -> list[int]:
+    """Lengths of the levels: the window's, before it half of that, and so on."""
+    out = [window]
+    while (half := (out[0] + 1) // 2) >= SHORTEST:
+        out.insert(0, half)
+    return out
+
+
+def ranks(ids: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """The place of each id among the different ones in order (null: -1), and these."""
+    coded = ids.dictionary_encode()
+    order = pc.sort_indices(coded.dictionary)
+    place = np.empty(len(order) + 1, np.int64)
+    place[order.to_numpy()] = np.arange(len(order))
+    place[-1] = -1
+    return place[coded.indices.fill_null(len(order)).to_numpy(zero_copy_only=False)], coded.dictionary.take(order)
+
+
+class Chunk:
+    """Words of a chunk of documents in a fixed order, the windows still in question (`alive`, by first word) and those to go (`gone`)."""
+
+    def __init__(self, table: pa.Table, window: int, state: tuple[bytes, bytes] | None = None):
+        self.table = table = table.combine_chunks().sort_by([("lot", "ascending"), ("id", "ascending")])
+        self.window = window
+        self.ids = table.column("id").combine_chunks()
+        text = table.column("text").combine_chunks().cast(pa.large_string()).fill_null("")
+        offsets = np.frombuffer(text.buffers()[1], np.int64, len(text) + 1 + text.offset)[text.offset :]
+        data = np.frombuffer(text.buffers()[2], np.uint8) if text.buffers()[2] is not None else np.zeros(0, np.uint8)
+        self.data, offsets = data[offsets[0] : offsets[-1]], offsets - offsets[0]
+        self.starts, self.ends, self.rows = spans(self.data, offsets)
+        n = len(self.starts)
+        if state:
+            self.alive, self.gone = (np.unpackbits(np.frombuffer(x, np.uint8), count=n).astype(bool) for x in state)
+            return
+        self.alive, self.gone = np.zeros(n, bool), np.zeros(n, bool)
+        whole = np.zeros(n + 1, np.int64)
+        has = (self.rows[1:] - self.rows[:-1] >= window) & self.ids.is_valid().to_numpy(zero_copy_only=False)
+        np.add.at(whole, self.rows[:-1][has], 1)
+        np.add.at(whole, self.rows[1:][has] - window + 1, -1)
+        self.alive = np.cumsum(whole)[:-1] > 0
+
+    def state(self) -> tuple[bytes, bytes]:
+        return np.packbits(self.alive).tobytes(), np.packbits(self.gone).tobytes()
+
+    def runs(self, length: int) -> tuple[np.ndarray, ...]:
+        """First and last window of each run of living windows that stand under one part of `length` words, with the hashes of the part and of the
+        run as a whole. A window stands under the part inside it with the smallest hash (the first of equals), so equal windows of two
+        documents stand under equal parts at equal places."""
+        starts = np.flatnonzero(self.alive)
+        if not len(starts):
+            return starts, starts, starts.astype(np.uint64), starts.astype(np.uint64)
+        if not hasattr(self, "hashes"):
+            self.hashes = word_hashes(self.data, self.starts, self.ends)
+            self.whole = windows(self.hashes, self.window)
+        n = len(self.whole)
+        g = windows(self.hashes, length)
+        least, at = g[:n].copy(), np.zeros(n, np.int32)
+        for j in range(1, self.window - length + 1):
+            lower = g[j : j + n] < least
+            np.copyto(least, g[j : j + n], where=lower)
+            at[lower] = j
+        p = starts + at[starts]
+        new = np.empty(len(p), bool)
+        new[0] = True
+        new[1:] = (p[1:] != p[:-1]) | (starts[1:] != starts[:-1] + 1)
+        first = np.flatnonzero(new)
+        a, b, p = starts[first], starts[np.append(first[1:], len(p)) - 1], p[first]
+        # first and last window hold all words of the run
+        span = mix(mix(self.whole[a] * A + self.whole[b] * B) + ((b - a) << 32).astype(np.uint64) + (p - a).astype(np.uint64))
+        return a, b, g[p], span
+
+    def row_of(self, starts: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.rows, starts, side="right") - 1
+
+    def questions(self, number: int, length: int, buckets: int) -> Iterator[tuple]:
+        """The different parts of the chunk with the smallest id that has each, whether several have, and whether their runs differ; by bucket."""
+        a, _, h, span = self.runs(length)
+        if not len(a):
+            return
+        rank, names = ranks(self.ids)
+        rank = rank[self.row_of(a)]
+        order = np.argsort(h, kind="stable")
+        h, span, rank = h[order], span[order], rank[order]
+        first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        low, high = np.minimum.reduceat(rank, first), np.maximum.reduceat(rank, first)
+        flags = SEVERAL * (low != high) + MIXED * (np.minimum.reduceat(span, first) != np.maximum.reduceat(span, first))
+        h, span = h[first], span[first]
+        bucket = ((h >> np.uint64(16)) % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        ends = np.cumsum(np.bincount(bucket, minlength=buckets))
+        for k in range(buckets):
+            own = order[ends[k - 1] if k else 0 : ends[k]]
+            if len(own):
+                yield k, number, h[own].tobytes(), span[own].tobytes(), flags[own].astype(np.uint8).tobytes(), names.take(pa.array(low[own]))
+
+    def answer(self, length: int, told: pa.Table) -> None:
+        """A part that repeats nowhere takes its windows out of question. Where all its runs agree its smallest id settles them; else they live on."""
+        a, b, h, _ = self.runs(length)
+        self.alive[:] = False
+        if not len(a) or not told.num_rows:
+            return
+        known = np.frombuffer(b"".join(told.column("h").to_pylist()), np.uint64)
+        mixed = np.frombuffer(b"".join(told.column("flags").to_pylist()), np.uint8) > 0
+        ids = told.column("ids").combine_chunks().flatten()
+        order = np.argsort(known)
+        place = np.searchsorted(known[order], h)
+        place[place == len(known)] = 0
+        place = order[place]
+        hit = np.flatnonzero(known[place] == h)
+        a, b, place = a[hit], b[hit], place[hit]
+        later = pc.greater(self.ids.take(pa.array(self.row_of(a))), ids.take(pa.array(place))).to_numpy(zero_copy_only=False).astype(bool)
+        for marks, which in ((self.alive, mixed[place]), (self.gone, ~mixed[place] & later)):
+            edge = np.zeros(len(marks) + 1, np.int64)
+            np.add.at(edge, a[which], 1)
+            np.add.at(edge, b[which] + 1, -1)
+            marks |= np.cumsum(edge)[:-1] > 0
+
+    def left(self) -> pa.Table:
+        """The chunk's rows without the words of windows that go."""
+        edge = np.zeros(len(self.starts) + 1, np.int64)
+        at = np.flatnonzero(self.gone)
+        np.add.at(edge, at, 1)
+        np.add.at(edge, at + self.window, -1)
+        drop = np.cumsum(edge)[:-1] > 0
+        raw, texts = self.data.tobytes(), self.table.column("text").combine_chunks()
+        n_removed, digests, kept = [], [], []
+        for i, (lo, hi) in enumerate(zip(self.rows[:-1], self.rows[1:], strict=True)):
+            stay = ~drop[lo:hi]
+            n_removed.append(int(hi - lo - stay.sum()))
+            words = b" ".join([raw[x:y] for x, y in zip(self.starts[lo:hi][stay].tolist(), self.ends[lo:hi][stay].tolist(), strict=True)])
+            digests.append(hashlib.sha256(words).hexdigest())
+            kept.append(words.decode() if n_removed[-1] else texts[i].as_py())
+        columns = {"id": self.ids, "n_words": pa.array(np.diff(self.rows), pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "kept_sha256": pa.array(digests, pa.string()), "kept": pa.array(kept, pa.string()), "rest": self.table.column("rest").combine_chunks()}
+        return pa.table(columns)
+
+
+def _asked(rows: list[tuple], kind: pa.DataType) -> pa.Table:
+    columns = list(zip(*rows, strict=True)) or [()] * 6
+    parts = [x if x is not None else pa.array([], kind) for x in columns[5]]
+    ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in parts])]), pa.int32()), pa.concat_arrays([pa.array([], kind), *parts]))
+    return pa.table([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), *(pa.array(c, pa.binary()) for c in columns[2:5]), ids], ["dest", "chunk", "h", "span", "flags", "ids"])
+
+
+def _first(window: int, length: int, buckets: int, key: tuple, docs: pa.Table) -> pa.Table:
+    chunk = Chunk(docs, window)
+    return _asked(list(chunk.questions(key[0].as_py(), length, buckets)), chunk.ids.type)
+
+
+def _told(docs: pa.Table, told: pa.Table, window: int, length: int) -> Chunk:
+    """The chunk after a level's answers."""
+    state = told.filter(told.column("state"))
+    chunk = Chunk(docs, window, (state.column("h")[0].as_py(), state.column("span")[0].as_py()) if state.num_rows else None)
+    chunk.answer(length, told.filter(pc.invert(told.column("state"))))
+    return chunk
+
+
+def _next(window: int, length: int, longer: int, buckets: int, key: tuple, docs: pa.Table, told: pa.Table) -> pa.Table:
+    """Takes a level's answers in and asks for the next one; the marks travel along (to a place of their own, below zero)."""
+    chunk, number = _told(docs, told, window, length), key[0].as_py()
+    rows = list(chunk.questions(number, longer, buckets))
+    if rows or chunk.gone.any():
+        rows.append((-1 - number, number, *chunk.state(), None, None))
+    return _asked(rows, chunk.ids.type)
+
+
+def _last(window: int, length: int, key: tuple, docs: pa.Table, told: pa.Table) -> pa.Table:
+    return _told(docs, told, window, length).left()
+
+
+def _compare(key: tuple, asked: pa.Table) -> pa.Table:
+    """Answers of a bucket: to each chunk, those of its parts that several documents have, their smallest id, and whether their runs differ anywhere."""
+    names = ["chunk", "state", "h", "span", "flags", "ids"]
+    if key[0].as_py() < 0:
+        return pa.table([asked.column("chunk"), pa.array([True] * asked.num_rows), *(asked.column(x) for x in names[2:])], names)
+    asked = asked.combine_chunks()
+    h, span, flags = (np.frombuffer(b"".join(asked.column(x).to_pylist()), kind) for x, kind in (("h", np.uint64), ("span", np.uint64), ("flags", np.uint8)))
+    rank, ids = ranks(asked.column("ids").combine_chunks().flatten())
+    owner = np.repeat(np.arange(asked.num_rows), [len(x) // 8 for x in asked.column("h").to_pylist()])
+    order = np.argsort(h, kind="stable")
+    first = np.flatnonzero(np.concatenate([[True], h[order][1:] != h[order][:-1]]))
+    over = lambda f, x: f.reduceat(x[order], first)
+    low, any_flags = over(np.minimum, rank), over(np.bitwise_or, flags)
+    repeats = (any_flags & SEVERAL > 0) | (low != over(np.maximum, rank))
+    mixed = (any_flags & MIXED > 0) | (over(np.minimum, span) != over(np.maximum, span))
+    group = np.empty(len(h), np.int64)
+    group[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(h))))
+    said = np.flatnonzero(repeats[group])
+    cuts = np.searchsorted(owner[said], np.arange(asked.num_rows + 1))
+    rows = [said[x:y] for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
+    use = [i for i, r in enumerate(rows) if len(r)]
+    least = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(rows[i]) for i in use])]), pa.int32()), ids.take(pa.array(low[group[said]])))
+    return pa.table([asked.column("chunk").take(pa.array(use, pa.int64())), pa.array([False] * len(use)), pa.array([h[rows[i]].tobytes() for i in use], pa.binary()), pa.array([None] * len(use), pa.binary()), pa.array([mixed[group[rows[i]]].astype(np.uint8).tobytes() for i in use], pa.binary()), least], names)
 
 
 def dedup(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """Removes every word covered by a window of `window` words that also starts in a document with a smaller id.
 
-    Levels. Level 1 looks at windows of half the length (7 for 13), and only at those that stand for a full window: the
-    one of smallest hash inside it. Those that occur in one document alone end there. Those that repeat are extended
-    to twice the length. Where all occurrences agree in every full window that they stand for (copies), their
-    smallest id settles these windows at once; the rest goes to the next level window by window, keyed by seed and
-    window hash (128 bits). No candidate is left after that. Counts are pre-aggregated before each shuffle, the joins back
-    have one row per key on one side (AQE splits their hot keys), and the shuffle of texts by id is shared by both
-    later passes.
+    Levels. Level 1 looks at parts of half the window's length, or half of that and so on down to SHORTEST (7 for 13), and only at those
+    that stand for a full window: the part of smallest hash inside it. Windows whose part occurs in one document alone are out of question.
+    The others are looked at again by parts of twice the length, and so on to the window itself, until none is left. Where all
+    occurrences of a part agree in every full window that they stand for (copies), their smallest id settles these windows at once.
+
+    Texts are shuffled once, into chunks of documents, and each level reads them there. A chunk asks for each of its different parts once, so the key
+    of a part that every document has counts once a chunk; questions go to buckets by hash, and answers back to the chunks, only for
+    parts that repeat. Between levels a chunk keeps two bits a word. Hashes are of 64 bits a part and, for the agreement of runs, 64 more.
 
     Words are runs of bytes other than ASCII white space, unchanged. Null and empty texts have no words; texts of fewer words than a
     window lose nothing; very long texts are handled in one piece by vectorised code. Rows that share an id are one document
-    (they must share the text); a null id is never smaller nor larger than another, so such rows lose nothing. An empty
-    table gives no rows. Only the two named columns are read.
+    (they must share the text); a null id is never smaller nor larger than another, so such rows neither lose words nor take them from others. An empty
+    table gives no rows. Only the named columns are read, whatever else there is and is called.
     Returns (id, n_words, n_removed, kept_sha256, kept, rest): the digest is of the words left, joined by one space; kept is these, or the
     text itself where nothing went; rest is a struct of the columns named in `carry`, which ride along.
     """
-    seed = (window + 1) // 2
     kind = docs.schema[id_col].dataType.simpleString()
     rest = F.struct(*[quoted(c) for c in carry]) if carry else F.lit(None).cast("int")
-    base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), rest.alias("rest"))
-    seeds = base.select("id", "text").mapInArrow(_seeds(window, seed), f"id {kind}, p int, h bigint, span bigint")
-    level1 = seeds.groupBy("h").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.min("span").alias("lo"), F.max("span").alias("hi")).where("least < most").select(F.col("h").alias("h_"), F.col("least"), (F.col("lo") != F.col("hi")).alias("mixed"))
-    level1 = table(level1)  # a table of its own: Spark splits hot keys of a join only where both sides come straight from their shuffles
-    release(docs.sparkSession)
-    again = seeds.select("id", "p", "h").join(level1, F.col("h") == F.col("h_")).where("mixed or id > least")
-    again = again.groupBy("id").agg(F.collect_list(F.when(F.col("mixed"), F.col("p"))).alias("open"), F.collect_list(F.when(~F.col("mixed"), F.col("p"))).alias("whole"))
-    again = again.select(F.col("id").alias("id_"), F.when(F.size("open") > 0, F.col("open")).alias("open"), F.when(F.size("whole") > 0, F.col("whole")).alias("whole"))
-    again = table(again)
-    release(docs.sparkSession)
-    texts = base.join(again, F.col("id") == F.col("id_"), "left")
-    # both passes read the same columns of the texts, so that they share one shuffle of them
-    level2 = texts.select("id", "text", "open", "rest").mapInArrow(_extend(window, seed), f"id {kind}, p int, h bigint, w bigint")
-    least = level2.groupBy("h", "w").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select(F.col("h").alias("h_"), F.col("w").alias("w_"), "least")
-    least = table(least)
-    release(docs.sparkSession)
-    single = level2.join(least, (F.col("h") == F.col("h_")) & (F.col("w") == F.col("w_"))).where("id > least").groupBy("id").agg(F.collect_list("p").alias("single")).withColumnRenamed("id", "id2")
-    final = texts.join(single, F.col("id") == F.col("id2"), "left").select("id", "text", "whole", "single", "rest")
-    out = final.mapInArrow(_remove(window, seed), f"id {kind}, n_words bigint, n_removed bigint, kept_sha256 string, kept string, rest {base.schema['rest'].dataType.simpleString()}")
-    return out.withColumnRenamed("id", id_col)
+    ident, text = quoted(id_col), quoted(text_col)
+    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    chunks, buckets = (max(1, -(-size // x)) for x in (CHUNK_BYTES, BUCKET_BYTES))
+    lot = F.xxhash64(ident, text)
+    base = docs.select(ident.alias("id"), text.alias("text"), rest.alias("rest"), lot.alias("lot"), F.pmod(lot, F.lit(chunks)).alias("chunk"))
+    lengths = levels(window)
+    by_chunk = lambda: base.groupBy("chunk")
+    asked = by_chunk().applyInArrow(_with_key(partial(_first, window, lengths[0], buckets)), ASKED.format(kind=kind))
+    for length, longer in zip(lengths, [*lengths[1:], None], strict=True):
+        told = asked.groupBy("dest").applyInArrow(_with_key(_compare), TOLD.format(kind=kind)).groupBy("chunk")
+        if longer:
+            asked = by_chunk().cogroup(told).applyInArrow(_with_keys(partial(_next, window, length, longer, buckets)), ASKED.format(kind=kind))
+    columns = f"id {kind}, n_words bigint, n_removed bigint, kept_sha256 string, kept string, rest {base.schema['rest'].dataType.simpleString()}"
+    return by_chunk().cogroup(told).applyInArrow(_with_keys(partial(_last, window, lengths[-1])), columns).withColumnRenamed("id", id_col)
+
+
+def _with_key(f):
+    return lambda key, rows: f(key, rows)
+
+
+def _with_keys(f):
+    return lambda key, left, right: f(key, left, right)
