@@ -200,16 +200,17 @@ def keep_one(docs: DataFrame, shingle: int = 3, radius: int = 2, id_col: str = "
     """
     marked = table(fingerprints(docs, shingle, id_col, text_col))
     classes = table(_classes(marked, radius))
-    named = marked.where("id is not null").join(classes, F.col("fp") == F.col("fp_")).where(F.col("id") == F.col("component_id"))
-    key, times, row, fp = (fresh(docs, x) for x in ("id_", "n_", "row_", "fp_"))
-    stay = table(named.groupBy(F.col("id").alias(key)).agg(F.count("*").alias(times)))
+    key, row, fp = (fresh(docs, x) for x in ("id_", "row_", "fp_"))
     ident, text = quoted(id_col), quoted(text_col)
-    if not stay.where(F.col(times) > 1).limit(1).count():
-        kept = docs.join(stay.select(key), ident == F.col(key), "left_semi")
-    else:
-        found = docs.withColumn(row, F.struct("*")).join(stay, ident == F.col(key))
-        several = found.where(F.col(times) > 1).groupBy(key).agg(F.min_by(row, F.struct(text, F.to_json(row))).alias(row))
-        kept = found.where(F.col(times) == 1).select(f"{row}.*").union(several.select(f"{row}.*"))
+    # what goes is less than what stays, so the smaller list is joined; both are of ids alone
+    named = marked.where("id is not null")
+    gone = table(named.join(classes, F.col("fp") == F.col("fp_")).where("id <> component_id").select(F.col("id").alias(key)).distinct())
+    again = table(named.groupBy(F.col("id").alias(key)).agg(F.count("*").alias("n")).where("n > 1").select(key))
+    kept = docs.where(ident.isNotNull()).join(gone, ident == F.col(key), "left_anti")
+    if again.limit(1).count():
+        several = kept.join(again, ident == F.col(key), "left_semi").select(ident.alias(key), F.struct("*").alias(row))
+        several = several.groupBy(key).agg(F.min_by(row, F.struct(F.col(row)[text_col], F.to_json(row))).alias(row))
+        kept = kept.join(again, ident == F.col(key), "left_anti").union(several.select(f"{row}.*"))
     nameless = classes.where("component_id is null and fp_ = group").select(F.col("fp_").alias(fp))
     if not nameless.limit(1).count():
         return kept

@@ -71,7 +71,7 @@ class Chunk:
 
     def runs(self, length: int) -> tuple[np.ndarray, ...]:
         """First and last window of each run of living windows that stand under one part of `length` words, with the hashes of the part and of the
-        run as a whole. A window stands under the part inside it with the smallest hash (the first of equals), so equal windows of two
+        run as a whole (of a window itself, a second hash). A window stands under the part inside it with the smallest hash (the first of equals), so equal windows of two
         documents stand under equal parts at equal places."""
         starts = np.flatnonzero(self.alive)
         if not len(starts):
@@ -93,7 +93,10 @@ class Chunk:
         first = np.flatnonzero(new)
         a, b, p = starts[first], starts[np.append(first[1:], len(p)) - 1], p[first]
         # first and last window hold all words of the run
-        span = mix(mix(self.whole[a] * A + self.whole[b] * B) + ((b - a) << 32).astype(np.uint64) + (p - a).astype(np.uint64))
+        if length < self.window:
+            span = mix(mix(self.whole[a] * A + self.whole[b] * B) + ((b - a) << 32).astype(np.uint64) + (p - a).astype(np.uint64))
+        else:
+            span = windows(mix(self.hashes ^ B), self.window)[a]
         return a, b, g[p], span
 
     def row_of(self, starts: np.ndarray) -> np.ndarray:
@@ -106,9 +109,8 @@ class Chunk:
             return
         rank, names = ranks(self.ids)
         rank = rank[self.row_of(a)]
-        order = np.argsort(h, kind="stable")
+        order, first = _groups(h, span, length == self.window)
         h, span, rank = h[order], span[order], rank[order]
-        first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
         low, high = np.minimum.reduceat(rank, first), np.maximum.reduceat(rank, first)
         flags = SEVERAL * (low != high) + MIXED * (np.minimum.reduceat(span, first) != np.maximum.reduceat(span, first))
         h, span = h[first], span[first]
@@ -122,18 +124,25 @@ class Chunk:
 
     def answer(self, length: int, told: pa.Table) -> None:
         """A part that repeats nowhere takes its windows out of question. Where all its runs agree its smallest id settles them; else they live on."""
-        a, b, h, _ = self.runs(length)
+        a, b, h, span = self.runs(length)
         self.alive[:] = False
         if not len(a) or not told.num_rows:
             return
         known = np.frombuffer(b"".join(told.column("h").to_pylist()), np.uint64)
         mixed = np.frombuffer(b"".join(told.column("flags").to_pylist()), np.uint8) > 0
         ids = told.column("ids").combine_chunks().flatten()
-        order = np.argsort(known)
+        other = np.frombuffer(b"".join(told.column("span").to_pylist()), np.uint64) if length == self.window else None
+        order = np.argsort(known) if other is None else np.lexsort((other, known))
         place = np.searchsorted(known[order], h)
+        while other is not None:  # of windows that share a hash by chance, on to the one that shares the second too
+            on = np.flatnonzero(place + 1 < len(known))
+            on = on[(known[order[place[on] + 1]] == h[on]) & (other[order[place[on]]] != span[on])]
+            if not len(on):
+                break
+            place[on] += 1
         place[place == len(known)] = 0
         place = order[place]
-        hit = np.flatnonzero(known[place] == h)
+        hit = np.flatnonzero((known[place] == h) & (other is None or other[place] == span))
         a, b, place = a[hit], b[hit], place[hit]
         later = pc.greater(self.ids.take(pa.array(self.row_of(a))), ids.take(pa.array(place))).to_numpy(zero_copy_only=False).astype(bool)
         for marks, which in ((self.alive, mixed[place]), (self.gone, ~mixed[place] & later)):
@@ -161,6 +170,16 @@ class Chunk:
         return pa.table(columns)
 
 
+def _groups(h: np.ndarray, span: np.ndarray, both: bool) -> tuple[np.ndarray, np.ndarray]:
+    """An order in which equal hashes (`both`: equal pairs) stand together, and where each begins."""
+    order = np.lexsort((span, h)) if both else np.argsort(h, kind="stable")
+    new = np.ones(len(h), bool)
+    new[1:] = h[order][1:] != h[order][:-1]
+    if both:
+        new[1:] |= span[order][1:] != span[order][:-1]
+    return order, np.flatnonzero(new)
+
+
 def _asked(rows: list[tuple], kind: pa.DataType) -> pa.Table:
     columns = list(zip(*rows, strict=True)) or [()] * 6
     parts = [x if x is not None else pa.array([], kind) for x in columns[5]]
@@ -194,7 +213,7 @@ def _last(window: int, length: int, key: tuple, docs: pa.Table, told: pa.Table)
     return _told(docs, told, window, length).left()
 
 
-def _compare(key: tuple, asked: pa.Table) -> pa.Table:
+def _compare(last: bool, key: tuple, asked: pa.Table) -> pa.Table:
     """Answers of a bucket: to each chunk, those of its parts that several documents have, their smallest id, and whether their runs differ anywhere."""
     names = ["chunk", "state", "h", "span", "flags", "ids"]
     if key[0].as_py() < 0:
@@ -203,8 +222,7 @@ def _compare(key: tuple, asked: pa.Table) -> pa.Table:
     h, span, flags = (np.frombuffer(b"".join(asked.column(x).to_pylist()), kind) for x, kind in (("h", np.uint64), ("span", np.uint64), ("flags", np.uint8)))
     rank, ids = ranks(asked.column("ids").combine_chunks().flatten())
     owner = np.repeat(np.arange(asked.num_rows), [len(x) // 8 for x in asked.column("h").to_pylist()])
-    order = np.argsort(h, kind="stable")
-    first = np.flatnonzero(np.concatenate([[True], h[order][1:] != h[order][:-1]]))
+    order, first = _groups(h, span, last)
     over = lambda f, x: f.reduceat(x[order], first)
     low, any_flags = over(np.minimum, rank), over(np.bitwise_or, flags)
     repeats = (any_flags & SEVERAL > 0) | (low != over(np.maximum, rank))
@@ -216,7 +234,7 @@ def _compare(key: tuple, asked: pa.Table) -> pa.Table:
     rows = [said[x:y] for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
     use = [i for i, r in enumerate(rows) if len(r)]
     least = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(rows[i]) for i in use])]), pa.int32()), ids.take(pa.array(low[group[said]])))
-    return pa.table([asked.column("chunk").take(pa.array(use, pa.int64())), pa.array([False] * len(use)), pa.array([h[rows[i]].tobytes() for i in use], pa.binary()), pa.array([None] * len(use), pa.binary()), pa.array([mixed[group[rows[i]]].astype(np.uint8).tobytes() for i in use], pa.binary()), least], names)
+    return pa.table([asked.column("chunk").take(pa.array(use, pa.int64())), pa.array([False] * len(use)), pa.array([h[rows[i]].tobytes() for i in use], pa.binary()), pa.array([span[rows[i]].tobytes() if last else None for i in use], pa.binary()), pa.array([mixed[group[rows[i]]].astype(np.uint8).tobytes() for i in use], pa.binary()), least], names)
 
 
 def dedup(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
@@ -229,7 +247,8 @@ def dedup(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: s
 
     Texts are shuffled once, into chunks of documents, and each level reads them there. A chunk asks for each of its different parts once, so the key
     of a part that every document has counts once a chunk; questions go to buckets by hash, and answers back to the chunks, only for
-    parts that repeat. Between levels a chunk keeps two bits a word. Hashes are of 64 bits a part and, for the agreement of runs, 64 more.
+    parts that repeat. Between levels a chunk keeps two bits a word. What is
+    settled has agreed in 128 bits of hash.
 
     Words are runs of bytes other than ASCII white space, unchanged. Null and empty texts have no words; texts of fewer words than a
     window lose nothing; very long texts are handled in one piece by vectorised code. Rows that share an id are one document
@@ -249,7 +268,7 @@ def dedup(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: s
     by_chunk = lambda: base.groupBy("chunk")
     asked = by_chunk().applyInArrow(_with_key(partial(_first, window, lengths[0], buckets)), ASKED.format(kind=kind))
     for length, longer in zip(lengths, [*lengths[1:], None], strict=True):
-        told = asked.groupBy("dest").applyInArrow(_with_key(_compare), TOLD.format(kind=kind)).groupBy("chunk")
+        told = asked.groupBy("dest").applyInArrow(_with_key(partial(_compare, longer is None)), TOLD.format(kind=kind)).groupBy("chunk")
         if longer:
             asked = by_chunk().cogroup(told).applyInArrow(_with_keys(partial(_next, window, length, longer, buckets)), ASKED.format(kind=kind))
     columns = f"id {kind}, n_words bigint, n_removed bigint, kept_sha256 string, kept string, rest {base.schema['rest'].dataType.simpleString()}"
