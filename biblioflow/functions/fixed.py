@@ -72,7 +72,11 @@ SURNAME = NAME_PARTICLE + r"[A-Z][\w'-]*(?:[-\s][A-Z][\w'-]+)?"
 INITIALS = r"(?:[A-Z]\.[ \t]*){1,4}"
 AUTHOR_LINE = rf"(?U)^\s*[*•\-]?\s*{SURNAME_LINE},\s+[A-Z][\w'.-]+"
 BOUNDARY = rf"(?U)^\s*(?:[*•\-–]\s*)?{SURNAME_LINE},\s+(?:[A-Z]\.|[A-Z][a-z]+|[A-Z]\b)"
-INVERTED = rf"({SURNAME}),[ \t]+({INITIALS}|[A-Z][a-z]+(?:[ \t]+[A-Z]\.(?![a-z])|[ \t]+[A-Z]\b(?![A-Za-z]))*)"
+GIVEN = INITIALS + r"|[A-Z][a-z]+(?:[ \t]+[A-Z]\.(?![a-z])|[ \t]+[A-Z]\b(?![A-Za-z]))*"
+INVERTED = rf"({SURNAME}),[ \t]+({GIVEN})"
+WRITTEN_GIVEN = r"[A-Z][a-z]+(?:[ \t]+[A-Z]\.?)*"
+ET_AL = r"(?i:[ \t]*,?[ \t]*et[ \t]+al\.?)"
+IMPRINT_COLON = r"[ \t]*\.?[ \t]*:"
 BRACKET = r"(?U)^\[\d+\]"
 LOCATOR_WORD = r"(?iuU)\b(?:vol|no|pp)\.\s*\d+"
 ARXIV_LINE = r"(?iuU)\barXiv:\s*\d{4}\.\d{4,5}"

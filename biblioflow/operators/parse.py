@@ -210,14 +210,14 @@ def is_reference(df_col=F.col) -> Column:
 def parse(entries: DataFrame, raw_col: str = "raw", style_col: str | None = None) -> DataFrame:
     """Adds the fields of a citation to a table of entries; columns of those names are replaced.
 
-    One projection per step, so that no expression is computed twice; the two steps in Python (Unicode normal form, author walk) are Arrow
-    batches. Null and blank entries have empty fields and confidence 0.
+    One projection per step, so that no expression is computed twice; the one step in Python (Unicode normal form) is an Arrow
+    batch. Null and blank entries have empty fields and confidence 0.
     """
     style = F.col(style_col) if style_col else F.lit("unknown")
     df = step(entries, __raw=normalize_unicode(F.col(raw_col)), __named=style)
     df = step(df, __header=squeeze(split_header(F.col("__raw"))))
     df = step(df, __body=F.regexp_replace("__header", X.ENTRY_PREFIX, ""))
-    df = step(df.withColumn("__span", author_span(F.col("__body"))), __region=F.substring(F.col("__body"), F.lit(1), F.col("__span.end")), __rest=F.substring(F.col("__body"), F.col("__span.end") + 1, F.char_length("__body")))
+    df = step(step(df, __span=author_span(F.col("__body"))), __region=F.substring(F.col("__body"), F.lit(1), F.col("__span.end")), __rest=F.substring(F.col("__body"), F.col("__span.end") + 1, F.char_length("__body")))
     raw, header, body, rest = (F.col(f"__{x}") for x in ("raw", "header", "body", "rest"))
     df = step(df, __title=extract_title(body, rest, F.col("__region")), __doi=extract_doi(raw))
     title = F.col("__title")
