@@ -10,6 +10,7 @@ from ..functions.authors import parse_author_field
 from ..functions.derive import author_string, display_title, needs_review, venue
 from ..functions.text import present, strip
 from .parse import score
+from .ranking import placed, position_slice, text_slice
 
 c = F.col
 
@@ -35,11 +36,21 @@ def matches(query: str) -> Column:
 
 
 def browse(citations: DataFrame, order: str = "document", query: str = "", review_only: bool = False, page: int = 1, page_size: int = X.PAGE_SIZE, pos_col: str = "pos") -> DataFrame:
-    """One page: filtered, sorted, cut by offset and limit (a top-k plan, no full sort of the table). A page number out of range is clamped below only;
-    page_count() tells how many there are."""
+    """One page: filtered, sorted, cut by offset and limit (a top-k plan, no full sort of the table). A page number out of range is the first or the last page;
+    rows are counted only for a page after the first."""
     df = citations.where(matches(query)) if query.strip() else citations
     df = df.where(needs_review()) if review_only else df
-    return df.orderBy(*order_columns(order, pos_col)).offset(page_size * (max(page, 1) - 1)).limit(page_size)
+    page = max(page, 1) if page <= 1 else min(page, page_count(df, page_size).first()["pages"])
+    return df.orderBy(*order_columns(order, pos_col)).offset(page_size * (page - 1)).limit(page_size)
+
+
+def ranked(citations: DataFrame, order: str = "document", pos_col: str = "pos") -> DataFrame:
+    """All rows with their `place` in the order, from 1."""
+    sort = order_columns(order, pos_col)
+    near = (position_slice(c(pos_col)), False)
+    year = lambda gone: F.when(c("year") == "", gone).otherwise(c("year"))
+    slices = {"document": [near], "confidence_asc": [(c("confidence"), False), near], "confidence_desc": [(c("confidence"), True), near], "year_asc": [(year("9999"), False), near], "year_desc": [(year("0000"), True), near], "title": [(text_slice(F.lower(display_title())), False)]}
+    return placed(citations, slices[order], sort, "place")
 
 
 def page_count(citations: DataFrame, page_size: int = X.PAGE_SIZE) -> DataFrame:

@@ -10,21 +10,24 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed as X
 from ..functions.lines import block_end, citation_signal, dense_start, density, is_declaration, marked
-from ..functions.text import present, squeeze, step, strip, word_count
+from ..functions.text import let, present, squeeze, step, strip, word_count
 
 MARK = "\x01"
 
 
 def match_lines(text: Column, *patterns: str) -> Column:
     """Sorted numbers of the lines on which matches end (their last character that is no white space), over the whole text."""
+    newlines = lambda x: F.regexp_count(x, F.lit("\n"))
+
+    def upto(s: Column) -> Column:
+        count = lambda k: F.aggregate(F.slice(s["all"], 1, k + 1), F.lit(0), lambda a, n: a + n) - s["tail"][k]
+        return F.transform(F.filter(F.sequence(F.lit(0), F.size(s["all"]) - 1), lambda k: k < F.size(s["all"]) - 1), count)
+
     out = F.array().cast("array<int>")
     for p in patterns:
         pieces = F.split(F.regexp_replace(text, p, "$0" + MARK), MARK)
-        upto = F.transform(
-            F.filter(F.sequence(F.lit(0), F.size(pieces) - 1), lambda k: k < F.size(pieces) - 1),
-            lambda k: F.regexp_count(F.regexp_replace(F.array_join(F.slice(pieces, 1, k + 1), ""), r"(?U)\s+$", ""), F.lit("\n")),
-        )
-        out = F.array_union(out, upto.cast("array<int>"))
+        sizes = let(pieces, lambda x: F.struct(F.transform(x, newlines).alias("all"), F.transform(x, lambda y: newlines(F.regexp_extract(y, r"(?U)\s+$", 0))).alias("tail")))
+        out = F.array_union(out, F.when(text.rlike(p), let(sizes, upto)).otherwise(F.array()).cast("array<int>"))
     return F.array_sort(out)
 
 
@@ -70,10 +73,11 @@ def detect(docs: DataFrame, text_col: str = "text", force_parse: bool = False, f
 
     First that holds: the reader's override; headings on their own line (each opens a block up to the next heading or terminator or a long run
     of prose; the last one's block always counts, earlier ones and an unheaded list at the end must be dense); a declaring title whose document is
-    dense or has annotated author entries; a dense tail. Null and blank texts have no bibliography.
+    dense or has annotated author entries; a dense tail. Null and blank texts have no bibliography; the control character that marks matches
+    within this module is taken out of texts first.
     """
     t = "__t"
-    df = step(docs, **{t: present(F.col(text_col))})
+    df = step(docs, **{t: F.translate(present(F.col(text_col)), MARK, "")})
     body_of = strip(F.col(t))
     note = lambda *parts: F.array(F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts]))
     result = lambda bib, body, method, kind, conf, notes: F.struct(bib.alias("bibliography_text"), body.alias("body_text"), F.lit(method).alias("method"), (kind if isinstance(kind, Column) else F.lit(kind)).alias("kind"), (conf if isinstance(conf, Column) else F.lit(float(conf))).cast("double").alias("confidence"), notes.alias("notes"))

@@ -23,7 +23,7 @@ def document_summary(citations: DataFrame, by: str = "doc_id", accepted_col: str
 
 
 def batch_summary(files: DataFrame) -> DataFrame:
-    """One row over a table of files (error, citation_count, confidence_sum, duration_ms)."""
+    """One row over a table of files (error, citation_count, confidence_sum and, if it is there, duration_ms, which adds its sum and mean)."""
     cited = F.sum("citation_count")
     return files.agg(
         F.count("*").alias("file_count"),
@@ -32,9 +32,19 @@ def batch_summary(files: DataFrame) -> DataFrame:
         F.coalesce(cited, F.lit(0)).alias("citation_count"),
         F.count_if(F.col("citation_count") > 0).alias("files_with_citations"),
         F.coalesce(F.try_divide(F.sum("confidence_sum"), cited), F.lit(0.0)).alias("average_confidence"),
+        *([F.sum("duration_ms").alias("duration_ms"), F.avg("duration_ms").alias("ms_per_file")] if "duration_ms" in files.columns else []),
     )
 
 
+def has_citations() -> Column:
+    return F.coalesce(F.col("citation_count"), F.lit(0)) > 0
+
+
+def is_reference_only(kind: Column) -> Column:
+    """Whether a document of this kind is nothing but a list of references."""
+    return F.coalesce(kind.isin("bibliography", "annotated_bibliography"), F.lit(False))
+
+
 def review_queue(citations: DataFrame) -> DataFrame:
     return citations.where(needs_review())
 

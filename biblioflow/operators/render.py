@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.derive import doi_url, first_of
 from ..functions.text import let, present, strip, words
+from .ranking import placed, position_slice, text_slice
 
 c = F.col
 
@@ -129,11 +130,13 @@ def sort_key() -> Column:
 
 def format_list(citations: DataFrame, style: str, by: list[str] | None = None, pos_col: str = "pos") -> DataFrame:
     """Adds list_pos and reference: IEEE numbers in the given order, the others sort by author. Lists are told apart by the columns `by`;
-    without any, the table is one list, numbered through a range sort."""
+    without any, the table is one list, numbered slice by slice."""
     style = style if style in STYLES else "apa"
     order = [c(pos_col)] if style == "ieee" else [sort_key(), c(pos_col)]
-    w = Window.partitionBy(*by).orderBy(*order) if by else Window.orderBy(*order)
-    df = citations.withColumn("list_pos", F.row_number().over(w))
+    if by:
+        df = citations.withColumn("list_pos", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+    else:
+        df = placed(citations, [(position_slice(order[0]) if style == "ieee" else text_slice(order[0]), False)], order, "list_pos")
     marker = F.concat(F.lit("["), c("list_pos").cast("string"), F.lit("]")) if style == "ieee" else None
     return df.withColumn("reference", format_reference(style, marker))
 

@@ -74,7 +74,7 @@ def accepted(entries: Column) -> Column:
 
 def split_entries(c: Column) -> Column:
     """array<string>: index numbers, then names where three or more lines open with one, blank lines, hanging indents, names, else the block as one."""
-    text = present(c)
+    text = F.translate(present(c), MARK, "")
     lines = F.split(text, "\n")
     named = F.size(F.filter(lines, lambda x: strip(x).rlike(X.BOUNDARY)))
     indented = F.exists(lines, lambda x: x.rlike(r"(?U)^\s+\S"))

@@ -31,7 +31,7 @@ ORACLE = {
     "parse_tail": _w("SELECT k, fam || ', ' || ini || '; ' || fam2 || ', ' || ini2 AS authors, title, year, journal, volume, CAST(a AS VARCHAR) AS pages, 'article' AS entry_type, CAST(1.0 AS DOUBLE) AS confidence FROM works"),
     "parse_arxiv": _w("SELECT k, fam || ', ' || ini AS authors, title, CAST(2000 + k % 20 + 1 AS VARCHAR) AS year, 'arXiv preprint' AS journal, 'https://arxiv.org/abs/' || lpad(CAST(k % 20 + 1 AS VARCHAR), 2, '0') || '03.' || lpad(CAST(k % 100000 AS VARCHAR), 5, '0') AS url, 'article' AS entry_type, CAST(0.8 AS DOUBLE) AS confidence FROM works"),
     "parse_book": _w("SELECT k, fam || ', ' || given AS authors, title, year, house AS publisher, 'book' AS entry_type, CAST(0.8 AS DOUBLE) AS confidence FROM works"),
-    "score_gate": _w("""SELECT k, form, form <> 'prose' AS accepted, CASE form WHEN 'prose' THEN 'low' ELSE 'high' END AS band, form = 'prose' AS review, CASE form WHEN 'apa' THEN '' WHEN 'book' THEN 'DOI' ELSE 'authors,year,venue,DOI' END AS missing
+    "score_gate": _w("""SELECT k, form, form <> 'prose' AS accepted, CASE WHEN form <> 'prose' THEN 'high' WHEN k BETWEEN 1900 AND 2099 THEN 'medium' ELSE 'low' END AS band, form = 'prose' AS review, CASE WHEN form = 'apa' THEN '' WHEN form = 'book' THEN 'DOI' WHEN k BETWEEN 1900 AND 2099 THEN 'authors,venue,DOI' ELSE 'authors,year,venue,DOI' END AS missing
 FROM works, (SELECT unnest(['apa', 'book', 'prose']) AS form)"""),
     "derived_columns": _w(f"""SELECT k, {_KEY} AS cite_key, fam || ', ' || ini || ' & ' || fam2 || ', ' || ini2 AS author_string, fam || ', ' || ini || ' & ' || fam2 || ', ' || ini2 AS short_authors, title AS display_title, journal AS venue,
     'vol. ' || volume || ', no. ' || issue || ', pp. ' || {PAGES} AS locator, 'https://doi.org/' || doi AS doi_url, 7 AS fields_found, ini[1] || fam[1] || ',' || ini2[1] || upper(fam2[1]) AS initials, ini || ' ' || fam || ';' || ini2 || ' ' || fam2 AS full_names FROM works"""),
@@ -71,8 +71,29 @@ FROM names, (SELECT unnest(['apa', 'mla', 'ieee', 'chicago']) AS style_name)""",
     "export_ris": f"""WITH {CITED} SELECT pos, concat_ws(chr(10), 'TY  - ' || CASE WHEN book THEN 'BOOK' ELSE 'JOUR' END, 'AU  - ' || fam || ', ' || ini, 'AU  - ' || fam2 || ', ' || ini2, 'TI  - ' || title, CASE WHEN NOT book THEN 'JO  - ' || journal END, 'PY  - ' || year,
   CASE WHEN NOT book THEN 'VL  - ' || volume END, CASE WHEN NOT book THEN 'IS  - ' || issue END, CASE WHEN NOT book THEN 'SP  - ' || string_split(pages, '-')[1] END, CASE WHEN NOT book THEN 'EP  - ' || string_split(pages, '-')[2] END, 'DO  - ' || doi, CASE WHEN book THEN 'PB  - ' || publisher END, 'ER  - ') AS entry FROM cited""",
     "export_csv": f"WITH {CITED} SELECT title, fam || ', ' || ini || ' & ' || fam2 || ', ' || ini2 AS authors, year, doi, CAST(confidence AS DOUBLE) AS confidence, source_file FROM cited",
-    "sort_year_desc": f"WITH {CITED} SELECT pos, year FROM cited ORDER BY year DESC, pos LIMIT 25",
+    "sort_year_desc": f"WITH {CITED} SELECT pos, year, row_number() OVER (ORDER BY year DESC, pos) AS place FROM cited",
     "page_two": f"WITH {CITED} SELECT pos, CAST(confidence AS DOUBLE) AS confidence FROM cited ORDER BY confidence, pos LIMIT 25 OFFSET 25",
+    "page_beyond": f"WITH {CITED}, n AS (SELECT greatest(1, CAST(ceil(count(*) / 25.0) AS BIGINT)) AS pages FROM cited) SELECT pos FROM (SELECT pos, row_number() OVER (ORDER BY pos) AS r FROM cited), n WHERE r > 25 * (pages - 1)",
+    "sort_within_files": f"WITH {CITED} SELECT pos, ord, row_number() OVER (PARTITION BY ord, source_file ORDER BY CASE ord WHEN 'confidence_desc' THEN -confidence WHEN 'year_asc' THEN CAST(year AS DOUBLE) ELSE 0 END, CASE ord WHEN 'title' THEN lower(title) ELSE '' END, pos) AS place FROM cited, (SELECT unnest(['document', 'confidence_desc', 'year_asc', 'title']) AS ord)",
+    "format_list_whole": f"WITH {CITED} SELECT pos, style, row_number() OVER (PARTITION BY style ORDER BY CASE style WHEN 'ieee' THEN '' ELSE lower(fam) END, pos) AS list_pos, CASE style WHEN 'ieee' THEN '[' || row_number() OVER (PARTITION BY style ORDER BY pos) || ']' ELSE '' END AS marker FROM cited, (SELECT unnest(['ieee', 'mla']) AS style)",
+    "normalize_text": _w("""SELECT k, '"' || title || '" - ' || journal || '...' AS document, title || chr(10) AS control, title || ' ' || journal AS flat, title || ' · ' || journal AS dotted, '<b><i>' || title || '</i></b>' AS compact FROM works"""),
+    "extract_identifiers": _w("SELECT k, 'https://site.org/w/' || k || '?x=1' AS url, doi, '2001' AS year, 'See and (2001, p. 3) for ' || title AS rest FROM works"),
+    "parse_annotated": _w(f"SELECT k, fam || ', ' || ini || '; ' || fam2 || ', ' || ini2 AS authors, title, year, journal, volume, issue, {PAGES} AS pages, doi FROM works"),
+    "sentences": _w("SELECT k, fam || ', ' || ini || ' ' || title || '.|' || 'Phys. Rev. Lett. 12 (' || year || ').|Next one' AS sentences FROM works"),
+    "plausible_titles": _w("SELECT k, kind, kind IN ('title') AS ok FROM works, (SELECT unnest(['title', 'short', 'numbers', 'address', 'retrieved', 'one_word', 'echo', 'initials']) AS kind)"),
+    "merge_continuations": _w("SELECT k, fam || ', ' || ini || ' One ' || title || ' and so on. 12' || '|' || fam2 || ', ' || ini2 || ' Another entry here' AS entries FROM works"),
+    "detect_modes": _w("""SELECT k // 10 AS doc, mode, CASE mode WHEN 'forced' THEN 'forced' WHEN 'prose' THEN 'none' WHEN 'titled' THEN 'title_page' WHEN 'blank' THEN 'none' ELSE 'section_header' END AS method,
+  CASE mode WHEN 'forced' THEN 'bibliography' WHEN 'prose' THEN 'non_academic' WHEN 'titled' THEN 'annotated_bibliography' WHEN 'blank' THEN 'unknown' ELSE 'research_paper' END AS kind,
+  CAST(CASE mode WHEN 'forced' THEN 1.0 WHEN 'prose' THEN 0.0 WHEN 'blank' THEN 0.0 ELSE 0.9 END AS DOUBLE) AS confidence,
+  CASE mode WHEN 'forced' THEN count(*) WHEN 'titled' THEN count(*) + 1 WHEN 'two_blocks' THEN 2 * count(*) + 1 WHEN 'trailing' THEN 2 * count(*) + 1 ELSE 0 END AS lines
+FROM works, (SELECT unnest(['forced', 'prose', 'titled', 'two_blocks', 'trailing', 'blank']) AS mode) GROUP BY 1, mode"""),
+    "style_edge_cases": "SELECT * FROM (VALUES ('chicago', 'chicago'), ('nothing', 'unknown'), ('empty', 'unknown'), ('tie', 'apa')) AS t(kind, style)",
+    "labels": f"""WITH {CITED} SELECT pos, CASE WHEN book THEN 'Book' ELSE 'Journal article' END AS entry, CASE WHEN confidence >= 0.6 THEN 'Complete' WHEN confidence >= 0.3 THEN 'Partial' ELSE 'Sparse' END AS band, CASE pos % 3 WHEN 0 THEN 'APA' WHEN 1 THEN 'CHICAGO' ELSE 'Unknown' END AS style, CASE pos % 2 WHEN 0 THEN 'Reference list' ELSE 'Unknown' END AS kind FROM cited""",
+    "previews": "SELECT doc_id, md5(array_to_string(string_split(text, chr(10))[1:3], chr(10))) AS top, sha256(text || 'd' || doc_id || 'true') AS digest FROM documents",
+    "only_new_files": "SELECT doc_id FROM documents WHERE text NOT IN (SELECT text FROM documents WHERE doc_id % 3 = 0)",
+    "style_guides": "SELECT * FROM (VALUES ('apa', 'References', 'by first author'), ('mla', 'Works Cited', 'by first author'), ('ieee', 'References', 'numbered as cited'), ('chicago', 'Bibliography', 'by first author')) AS t(style, list_heading, ordering)",
+    "reference_only": _w("SELECT k // 10 AS doc, true AS has_citations, true AS reference_only FROM works GROUP BY 1"),
+    "file_times": f"WITH {CITED}, files AS (SELECT source_file, count(*) AS n FROM cited GROUP BY 1) SELECT CAST(sum(n * 2) AS DOUBLE) / count(*) AS ms_per_file, CAST(sum(n * 2) AS BIGINT) AS duration_ms FROM files",
     "search": f"WITH {CITED} SELECT pos, title FROM cited WHERE contains(lower(title), 'glacier motion in eastern')",
     "review_queue": f"WITH {CITED} SELECT pos, CAST(confidence AS DOUBLE) AS confidence FROM cited WHERE confidence < 0.5",
     "edit_fields": f"""WITH {CITED} SELECT pos, CASE WHEN pos % 4 = 0 THEN 'New title' ELSE title END AS title, CASE WHEN pos % 4 = 0 THEN 'Doe, Jane; Lee, Ann B.' ELSE fam || ', ' || ini || '; ' || fam2 || ', ' || ini2 END AS authors, CASE WHEN pos % 4 = 0 THEN '' ELSE doi END AS doi, pos % 4 = 0 AS edited,

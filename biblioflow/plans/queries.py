@@ -6,10 +6,13 @@ be the columns that a reference was written from.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import derive as D
+from ..functions import fixed as X
 from ..functions import text as T
 from ..functions.authors import parse_author_field
 from ..functions.lines import citation_signal, density, is_contents_line, is_declaration, is_prose, marked
@@ -17,10 +20,11 @@ from ..operators import browse as B
 from ..operators import render as R
 from ..operators.dedupe import deduplicate, duplicate_count, duplicate_key
 from ..operators.detect import detect
-from ..operators.parse import is_reference, parse
-from ..operators.quality import batch_summary, document_summary, tally
+from ..operators.parse import extract_doi, extract_url, is_plausible_title, is_reference, masked, parse, safe_sentences
+from ..operators.quality import batch_summary, document_summary, has_citations, is_reference_only, tally
+from ..operators.segment import merge_continuations as joined
 from ..operators.segment import split_entries
-from ..operators.style import vote
+from ..operators.style import vote, vote_array
 from ..operators.summarize import summarize, term_frequency
 from ..sources.documents import resolve_decoder
 from ..sources.sinks import bibtex, csv_rows, ris
@@ -28,16 +32,16 @@ from .process import characterise, citations, parse_pasted, with_summary
 
 c = F.col
 LISTS = {
-    "fam": ["Smith", "Chen", "Okonkwo", "Ferreira", "Lindqvist", "Garcia", "Novak", "Tanaka"],
-    "fam2": ["Osei", "van der Berg", "Moreau", "Haddad", "Kowalski"],
+    "fam": ["Abbot", "Keller", "Oyelaran", "Ferreira", "Lindqvist", "Garcia", "Novak", "Tanaka"],
+    "fam2": ["Obi", "van der Meer", "Moreau", "Haddad", "Kowalski"],
     "ini": ["J. A.", "L.", "K. B.", "M.", "R. T."],
     "ini2": ["S.", "P. Q.", "D."],
     "given": ["Maria", "Helen", "Robert", "Ruth", "Peter"],
     "head": ["Adaptive sampling", "Comparative survey", "Statistical analysis", "Field measurement", "Numerical modelling", "Remote observation", "Careful review"],
     "topic": ["coastal sediment", "urban traffic", "forest growth", "river chemistry", "crop rotation", "glacier motion", "bird migration", "soil moisture", "cloud formation", "tidal energy", "noise exposure"],
     "place": ["northern valleys", "southern islands", "eastern plains", "western hills", "central basins"],
-    "journal": ["Journal of Bibliometrics", "Studies in Higher Learning", "Environmental Research Letters", "Nature Geoscience", "Annals of Applied Statistics", "Review of Coastal Science"],
-    "house": ["Harvard University Press", "Educational Books", "Northern Publishing"],
+    "journal": ["Journal of Field Records", "Studies in Practical Method", "Letters on Open Measurement", "Harbour Geoscience", "Annals of Careful Counting", "Review of Inland Science"],
+    "house": ["Lakeside University Press", "Meadow Books", "Northern Publishing"],
 }
 
 
@@ -147,7 +151,8 @@ PROSE = "We walked along the river and wrote down what the people there had told
 def documents_of(spark: SparkSession, sf: str, form: Column | None = None, glue: str = "\n", head: str = PROSE * 12 + "References\n", foot: str = "") -> DataFrame:
     """Ten works to a document (doc), under a heading."""
     rows = works(spark, sf).select(F.floor(c("k") / 10).alias("doc"), F.struct("k", (APA() if form is None else form).alias("raw")).alias("x"))
-    lists = rows.groupBy("doc").agg(F.array_sort(F.collect_list("x")).alias("xs"))
+    # a stated number of partitions: adaptive execution would put short lists into one, and what follows is heavy on each row
+    lists = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc").groupBy("doc").agg(F.array_sort(F.collect_list("x")).alias("xs"))
     return lists.select("doc", F.size("xs").cast("long").alias("n"), F.concat(F.lit(head), F.array_join(F.transform("xs", lambda x: x["raw"]), glue), F.lit(foot)).alias("text"))
 
 
@@ -205,6 +210,63 @@ def pasted_references(spark, sf):
     return parse_pasted(documents_of(spark, sf, head=""), ["doc"]).select("doc", c("pos").cast("long").alias("pos"), "style", "year", "doi")
 
 
+NOTE = "The author goes through the whole of the valley and shows with care\nhow every one of the old wells was dug and later given up again"
+
+
+def parse_annotated(spark, sf):
+    """Entries with commentary below them: it is no part of the citation."""
+    return _parse_query(F.concat(APA(), F.lit("\n" + NOTE)), "title", "year", "journal", "volume", "issue", "pages", "doi")(spark, sf).drop("entry_type", "confidence")
+
+
+def extract_identifiers(spark, sf):
+    raw = _text("See https://site.org/w/", c("k").cast("string"), "?x=1 and (2001, p. 3) doi:", "$doi", "; for ", "$title")
+    return works(spark, sf).select("k", extract_url(raw).alias("url"), extract_doi(raw).alias("doi"), F.regexp_extract(masked(raw), r"\((\d{4}),", 1).alias("year"), T.squeeze(F.replace(masked(raw), F.lit("doi: ;"), F.lit(""))).alias("rest"))
+
+
+def sentences(spark, sf):
+    raw = _text("$fam", ", ", "$ini", " ", "$title", ". Phys. Rev. Lett. 12 (", "$year", "). Next one")
+    return works(spark, sf).select("k", F.array_join(safe_sentences(raw), "|").alias("sentences"))
+
+
+def plausible_titles(spark, sf):
+    kinds = {"title": c("title"), "short": F.lit("Ab cd"), "numbers": F.lit("12, 34 (56)"), "address": _text("$title", " https://x.org/1"), "retrieved": _text("$title", " retrieved from the shelf"), "one_word": F.lit("Bibliometrics 12"), "echo": _text("$fam", " region one"), "initials": F.lit("J. Abbot R. Keller")}
+    rows = works(spark, sf).select("k", F.inline(F.array(*[F.struct(F.lit(n).alias("kind"), x.alias("t"), _text("$fam", " region one, A.").alias("region")) for n, x in kinds.items()])))
+    return rows.select("k", "kind", is_plausible_title(c("t"), c("region")).alias("ok"))
+
+
+def merge_continuations(spark, sf):
+    pieces = F.array(_text("$fam", ", ", "$ini", " One ", "$title"), F.lit("and so on."), F.lit(" "), F.lit("12"), _text("$fam2", ", ", "$ini2", " Another entry here"))
+    return works(spark, sf).select("k", F.array_join(joined(pieces), "|").alias("entries"))
+
+
+def detect_modes(spark, sf):
+    """The reader's overrides, a declaring title, two blocks under headings, an unheaded list at the end, and blank text."""
+    refs = documents_of(spark, sf, head="")
+    text = {
+        "forced": c("text"), "prose": F.concat(F.lit("References\n"), c("text")), "titled": F.concat(F.lit("Annotated Bibliography of Northern Sources\n"), c("text")),
+        "two_blocks": F.concat(F.lit(PROSE * 40 + "References\n"), c("text"), F.lit("\nGlossary\n" + PROSE * 14 + "Further Reading\n"), c("text")),
+        "trailing": F.concat(F.lit(PROSE * 40 + "References\n"), c("text"), F.lit("\nAppendix A\n" + PROSE * 14), c("text")), "blank": F.lit(" \n "),
+    }
+    parts = []
+    for mode, t in text.items():
+        d = detect(refs.withColumn("text", t), force_parse=mode == "forced", force_prose=mode == "prose")
+        lines = F.when(c("detection.bibliography_text") == "", 0).otherwise(F.size(F.split("detection.bibliography_text", "\n")))
+        parts.append(d.select("doc", F.lit(mode).alias("mode"), "detection.method", "detection.kind", "detection.confidence", lines.cast("long").alias("lines")))
+    return reduce(DataFrame.union, parts)
+
+
+def style_edge_cases(spark, sf):
+    kinds = {"chicago": ["Abbot, Ruth. One thing 12 (3): 45"], "nothing": ["nothing"], "empty": [], "tie": ["(2001) and &"]}
+    rows = spark.createDataFrame(list(kinds.items()), "kind string, entries array<string>")
+    return rows.select("kind", vote_array(c("entries"))["style"].alias("style"))
+
+
+def reference_only(spark, sf):
+    base = characterise(documents_of(spark, sf, head="References\n"))
+    counts = document_summary(citations(base, ["doc"]), "doc")
+    return base.join(counts, "doc").select("doc", has_citations().alias("has_citations"), is_reference_only(c("detection.kind")).alias("reference_only"))
+
+
 # --- merging -------------------------------------------------------------------------------------------------------------------
 def _copies(spark: SparkSession, sf: str) -> DataFrame:
     """Each work one to three times, in files f0 to f4, with more or fewer fields; every seventh without an identity."""
@@ -257,6 +319,22 @@ def format_list_apa(spark, sf):
     return R.format_list(d, "apa", ["list"]).select("list", "pos", c("list_pos").cast("long").alias("list_pos"))
 
 
+def format_list_whole(spark, sf):
+    """The whole table as one list."""
+    lists = [R.format_list(_cited(spark, sf), style).select("pos", F.lit(style).alias("style"), c("list_pos").cast("long").alias("list_pos"), "reference.marker") for style in ("ieee", "mla")]
+    return lists[0].union(lists[1])
+
+
+def style_guides(spark, sf):
+    return R.style_guides(spark).select("style", "list_heading", "ordering")
+
+
+def labels(spark, sf):
+    style = F.element_at(F.array(F.lit("apa"), F.lit("chicago"), F.lit("unknown")), (c("pos") % 3 + 1).cast("int"))
+    kind = F.when(c("pos") % 2 == 0, "bibliography").otherwise("other")
+    return _cited(spark, sf).select("pos", D.label(c("entry_type"), X.ENTRY_LABELS).alias("entry"), D.label(D.confidence_band(), X.BAND_LABELS).alias("band"), D.style_label(style).alias("style"), D.label(kind, X.KIND_LABELS).alias("kind"))
+
+
 def export_bibtex(spark, sf):
     return _cited(spark, sf).select("pos", bibtex().alias("entry"))
 
@@ -271,7 +349,18 @@ def export_csv(spark, sf):
 
 # --- browsing --------------------------------------------------------------------------------------------------------------------
 def sort_year_desc(spark, sf):
-    return B.browse(_cited(spark, sf), "year_desc").select("pos", "year")
+    """All citations, with their places in the order."""
+    return B.ranked(_cited(spark, sf), "year_desc").select("pos", "year", c("place").cast("long").alias("place"))
+
+
+def sort_within_files(spark, sf):
+    orders = [B.numbered(_cited(spark, sf), o, ["source_file"]).select("pos", F.lit(o).alias("ord"), c("rank").cast("long").alias("place")) for o in ("document", "confidence_desc", "year_asc", "title")]
+    return reduce(DataFrame.union, orders)
+
+
+def page_beyond(spark, sf):
+    """A page past the end is the last one."""
+    return B.browse(_cited(spark, sf), page=1_000_000).select("pos")
 
 
 def page_two(spark, sf):
@@ -297,12 +386,31 @@ def batch_totals(spark, sf):
     return batch_summary(files).withColumn("average_confidence", F.round("average_confidence", 6))
 
 
+def file_times(spark, sf):
+    files = _cited(spark, sf).groupBy("source_file").agg(F.count("*").alias("citation_count"), F.sum("confidence").alias("confidence_sum"), (2 * F.count("*")).alias("duration_ms")).withColumn("error", F.lit(None).cast("string"))
+    return batch_summary(files).select("ms_per_file", "duration_ms")
+
+
 def accuracy_tally(spark, sf):
     """Books parsed against what they were written from; every tenth label is wrong on purpose."""
     w = works(spark, sf).withColumns({"raw": BOOK(), "expected": F.struct(c("title"), F.array(F.concat(c("fam"), F.lit(", "), c("given"))).alias("authors"), F.when(c("k") % 10 == 0, "1800").otherwise(c("year")).alias("year"), *[F.lit("").alias(x) for x in ("journal", "volume", "issue", "pages", "doi")], c("house").alias("publisher"))}).select("k", "raw", "expected")
     return tally(parse(w)).where(c("field").isin("title", "authors", "year", "doi")).select("field", "tp", "fp", "fn", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"))
 
 
+def normalize_text(spark, sf):
+    raw = _text("\u201c", "$title", "\u201d\u00a0\u2013 ", "$journal", "\u00ad\u200b\u0007\u2026\n")
+    return works(spark, sf).select("k", T.normalize_document(raw).alias("document"), T.strip_control(_text("$title", "\u0007\u200b\n")).alias("control"), T.squeeze(_text("  ", "$title", "\n\t", "$journal", " ")).alias("flat"), T.dot_join(c("title"), F.lit(""), c("journal")).alias("dotted"), T.compact(_text(" <b>\n   <i>", "$title", "</i>\n</b> ")).alias("compact"))
+
+
+def previews(spark, sf):
+    return _read(spark, sf, "documents").select("doc_id", F.md5(B.preview(c("text"), 3)).alias("top"), B.content_digest(c("text"), F.concat(F.lit("d"), c("doc_id").cast("string")), F.lit(True)).alias("digest"))
+
+
+def only_new_files(spark, sf):
+    files = _read(spark, sf, "documents").select("doc_id", B.content_digest(c("text"), F.lit("")).alias("digest"))
+    return B.only_new(files, files.where(c("doc_id") % 3 == 0)).select("doc_id")
+
+
 # --- text ------------------------------------------------------------------------------------------------------------------------
 def text_stats(spark, sf):
     s = _read(spark, sf, "documents").select("doc_id", T.document_stats(c("text")).alias("s")).select("doc_id", "s.*")
@@ -367,5 +475,6 @@ QUERIES = {f.__name__: f for f in (
     parse_apa, parse_mla, parse_ieee, parse_tail, parse_arxiv, parse_book, score_gate, derived_columns, detect_heading, detect_density, detect_documents, split_author, split_blank, split_indent, split_numbered,
     style_vote, process_documents, pasted_references, dedupe, dedupe_count, duplicate_keys, format_styles, format_list_ieee, format_list_apa, export_bibtex, export_ris, export_csv, sort_year_desc, page_two, search,
     review_queue, edit_fields, batch_totals, accuracy_tally, text_stats, strip_furniture, collapse_whitespace, dehyphenate, clean_fields, line_signals, citation_density, term_frequencies, summary_topk, document_summaries,
-    decoder_choice, edited_authors,
+    decoder_choice, edited_authors, sort_within_files, page_beyond, format_list_whole, style_guides, labels, parse_annotated, extract_identifiers, sentences, plausible_titles, merge_continuations, detect_modes, style_edge_cases,
+    reference_only, file_times, normalize_text, previews, only_new_files,
 )}

@@ -47,12 +47,18 @@ def resolve_decoder(mime_type: Column, filename: Column) -> Column:
     return F.coalesce(*by_mime, *by_ext)
 
 
+def _qualified(spark: SparkSession, path: str) -> str:
+    """A path as Spark's file sources name it."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(hadoop).toString()
+
+
 def read_files(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(file_pos, filename, mime_type, content) of whole files, in the order of their paths. Missing paths are reported by missing_paths()."""
-    order = F.create_map(*[x for i, p in enumerate(paths) for x in (F.lit(posixpath.basename(p)), F.lit(i))])
-    raw = spark.read.format("binaryFile").load(paths)
-    name = F.regexp_extract("path", r"[^/]*$", 0)
-    return raw.select(F.coalesce(F.try_element_at(order, name), F.lit(len(paths))).alias("file_pos"), name.alias("filename"), F.lit("").alias("mime_type"), "content")
+    """(file_pos, filename, mime_type, content) of whole files, in the order of their paths; file names may repeat. Missing paths are reported by missing_paths()."""
+    whole = list(dict.fromkeys(_qualified(spark, p) for p in paths))
+    order = F.create_map(*[x for i, p in enumerate(whole) for x in (F.lit(p), F.lit(i))])
+    raw = spark.read.format("binaryFile").load(whole)
+    return raw.select(F.coalesce(F.try_element_at(order, F.col("path")), F.lit(len(whole))).alias("file_pos"), F.regexp_extract("path", r"[^/]*$", 0).alias("filename"), F.lit("").alias("mime_type"), "content")
 
 
 def missing_paths(spark: SparkSession, paths: list[str]) -> list[str]:

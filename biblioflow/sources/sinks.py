@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..errors import ExportError
 from ..functions import fixed as X
 from ..functions.derive import author_string, cite_key
-from ..operators.render import format_list
+from ..operators.render import GUIDES, format_list
 
 c = F.col
 
@@ -62,9 +62,16 @@ def _json(citations: DataFrame, path: str, pos: str = "pos") -> None:
     citations.orderBy(pos).write.json(path)
 
 
+def reference_lines(citations: DataFrame, style: str, pos: str = "pos") -> DataFrame:
+    """(list_pos, value): a list's heading, at 0, and its references."""
+    heading = next(h for s, _, h, _ in GUIDES if s == style)
+    lines = format_list(citations, style, pos_col=pos).select("list_pos", F.concat_ws(" ", F.nullif(c("reference.marker"), F.lit("")), c("reference.text")).alias("value"))
+    return citations.sparkSession.range(1).select(F.lit(0).cast("long").alias("list_pos"), F.lit(heading).alias("value")).union(lines.select(c("list_pos").cast("long"), "value"))
+
+
 def _reference_list(style: str):
     def write(citations: DataFrame, path: str, pos: str = "pos") -> None:
-        lines = format_list(citations, style, pos_col=pos).orderBy("list_pos").select(F.concat_ws(" ", F.nullif(c("reference.marker"), F.lit("")), c("reference.text")).alias("value"))
+        lines = reference_lines(citations, style, pos).orderBy("list_pos").select("value")
         lines.write.option("lineSep", "\n\n").text(path)
 
     return write
