@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from ._shared import quoted, table
 from ._words import windows
@@ -168,14 +169,17 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = 13, id_col: str =
     struct of the columns named in `carry`, which ride along.
     """
     spark = docs.sparkSession
-    kind = docs.schema[id_col].dataType.simpleString()
     bench = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("t")).where("t is not null")
     total = bench.agg(F.sum(F.length("t"))).first()[0] or 0
     blocks = max(1, -(-total // (6 * (block_words or BLOCK_WORDS))))
     block_of = F.pmod(F.xxhash64("item", "t"), F.lit(blocks))
     rest = F.struct(*[quoted(c) for c in carry]) if carry else F.lit(None).cast("int")
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), rest.alias("rest"))
-    rest_type = base.schema["rest"].dataType.simpleString()
+    own = [StructField(c, base.schema[c].dataType) for c in ("id", "text", "rest")]
+    listed = [StructField("items", ArrayType(StringType())), StructField("spans", ArrayType(LongType()))]
+    counts = [StructField(c, LongType()) for c in ("n_words", "n_hit")]
+    each = StructType([*own[:2], *listed, own[2]])
+    summed = StructType([own[0], *counts, listed[0], StructField("items_sha256", StringType()), listed[1], own[2]])
     rows = base.select("id", "text", F.array().cast("array<string>").alias("items"), F.array().cast("array<bigint>").alias("spans"), "rest")
     for k in range(blocks):
         index = Index([tuple(r) for r in bench.where(block_of == k).collect()], window)
@@ -183,8 +187,7 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = 13, id_col: str =
         counted = base.select("text").mapInArrow(_count(sent), "n int, k bigint, c bigint").groupBy("n", "k").agg(F.sum("c")).collect() if index.lengths else []
         index.finish({(n, key): c for n, key, c in counted})
         last = k == blocks - 1
-        columns = f"id {kind}, n_words bigint, n_hit bigint, items array<string>, items_sha256 string, spans array<bigint>, rest {rest_type}" if last else f"id {kind}, text string, items array<string>, spans array<bigint>, rest {rest_type}"
-        rows = rows.mapInArrow(_match(spark.sparkContext.broadcast(index), last), columns)
+        rows = rows.mapInArrow(_match(spark.sparkContext.broadcast(index), last), summed if last else each)
         rows = rows if last else table(rows)
     return rows.withColumnRenamed("id", id_col)
 

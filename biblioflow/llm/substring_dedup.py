@@ -11,6 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from ._shared import quoted
 from ._words import A, B, mix, spans, windows, word_hashes
@@ -271,7 +272,8 @@ def dedup(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: s
         told = asked.groupBy("dest").applyInArrow(_with_key(partial(_compare, longer is None)), TOLD.format(kind=kind)).groupBy("chunk")
         if longer:
             asked = by_chunk().cogroup(told).applyInArrow(_with_keys(partial(_next, window, length, longer, buckets)), ASKED.format(kind=kind))
-    columns = f"id {kind}, n_words bigint, n_removed bigint, kept_sha256 string, kept string, rest {base.schema['rest'].dataType.simpleString()}"
+    found = [StructField(c, t) for c, t in (("n_words", LongType()), ("n_removed", LongType()), ("kept_sha256", StringType()), ("kept", StringType()))]
+    columns = StructType([StructField("id", base.schema["id"].dataType), *found, StructField("rest", base.schema["rest"].dataType)])
     return by_chunk().cogroup(told).applyInArrow(_with_keys(partial(_last, window, lengths[-1])), columns).withColumnRenamed("id", id_col)
 
 

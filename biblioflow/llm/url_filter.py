@@ -16,8 +16,8 @@ MAX_INLINE_RULES = 512
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)(\??[^#]*)"
 NODE = r"(?s)^([^/?]*)([^?]*)"
-CANONICAL = r"""(?is)<link\b(?=[^>]*\brel\s*=\s*(?:canonical\b|"[^">]*\bcanonical\b|'[^'>]*\bcanonical\b))[^>]*\bhref\s*=\s*(?:"([^">]*)"|'([^'>]*)'|([^"'\s>]+))"""
-REFRESH = r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*\bcontent\s*=\s*["']?[^"'>]*?url\s*=\s*(?:"([^">]*)"|'([^'>]*)'|([^"'\s>]+))"""
+CANONICAL = r"""(?is)<link\b(?=[^>]*\brel\s*=\s*(?:canonical\b|"[^">]*\bcanonical\b|'[^'>]*\bcanonical\b))[^>]*\bhref\s*=\s*(?:"([^">]*)"|'([^'>]*)'|([^"'\s>]+))[^>]*"""
+REFRESH = r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*\bcontent\s*=\s*["']?[^"'>]*?url\s*=\s*(?:"([^">]*)"|'([^'>]*)'|([^"'\s>]+))[^>]*"""
 # Fixed values of HTML: character references that URLs hold.
 REFERENCES = (("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"), ("&#x27;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&#47;", "/"), ("&#x2f;", "/"), ("&#x2F;", "/"), ("&#61;", "="), ("&#x3d;", "="), ("&#x3D;", "="), ("&#38;", "&"), ("&#x26;", "&"), ("&amp;", "&"))
 RULE = "struct<n:int,first:int,rule:string,verdict:string>"
