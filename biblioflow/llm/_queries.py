@@ -102,6 +102,21 @@ counts AS (SELECT a, count(*) AS n FROM links GROUP BY 1)
 SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM v JOIN parts ON v.vec_id = parts.a LEFT JOIN counts ON v.vec_id = counts.a
 """
 
+OP6_SQL = r"""
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, substr(md5('7|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || coalesce(text, '')), 1, 15) AS r FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, [5.0, 2.0, 1.0][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3]::DOUBLE AS w FROM d GROUP BY source),
+c AS (SELECT *, 2.0::DOUBLE * source_size AS cap FROM s),
+a AS (SELECT *, coalesce(sum(cap) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS capped, sum(w) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS w_left,
+    row_number() OVER (ORDER BY cap / w, source NULLS LAST) AS rn, 1.5::DOUBLE * sum(source_size) OVER () AS budget FROM c),
+l AS (SELECT arg_min((budget - capped) / w_left, rn) AS level FROM a WHERE (budget - capped) / w_left * w < cap),
+g AS (SELECT source, source_size, CASE WHEN level IS NULL THEN cap ELSE least(cap, level * w) END AS target FROM a, l),
+q AS (SELECT d.*, source_size, target, sum(size) OVER (PARTITION BY d.source ORDER BY r, doc_id, size ROWS UNBOUNDED PRECEDING) AS upto FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source),
+e AS (SELECT doc_id, r, size, turn, (upto + (turn - 1) * source_size)::DOUBLE / target AS t FROM q, (SELECT unnest([1, 2]) AS turn) WHERE size > 0),
+u AS (SELECT *, sum(size) OVER (ORDER BY t, r, doc_id, turn ROWS UNBOUNDED PRECEDING) AS used FROM e),
+k AS (SELECT doc_id, count(*) AS turns FROM u WHERE used <= (SELECT round(sum(target), 3) FROM g) GROUP BY 1)
+SELECT q.doc_id, size, source_size, target, CAST(size * coalesce(turns, 0) AS BIGINT) AS taken FROM q LEFT JOIN k ON q.doc_id = k.doc_id
+"""
+
 # Rules as the operator has them. The pages of the tables state no aliases, so none are followed here.
 OP8_SQL = r"""
 WITH u AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path FROM pages),
@@ -121,4 +136,4 @@ FROM b
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_embedding_dedup": OP2_SQL, "op8_url_filter": OP8_SQL, "op9_warc": OP9_SQL, "op1_decontaminate": OP1_SQL, "op4_substring_dedup": OP4_SQL}
+    return {"op6_mixing": OP6_SQL, "op2_embedding_dedup": OP2_SQL, "op8_url_filter": OP8_SQL, "op9_warc": OP9_SQL, "op1_decontaminate": OP1_SQL, "op4_substring_dedup": OP4_SQL}

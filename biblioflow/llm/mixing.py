@@ -52,10 +52,12 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), budget: float = 1
     separate documents. An empty table gives no rows. Columns besides the three named ones and `carry` are not read.
     Returns id, size, source, source_size, target, taken (size times the passes taken), and with `carry` the document's columns of those names as struct `rest`.
     """
-    size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
+    size = F.coalesce(F.regexp_count(quoted(text_col), F.lit(WORD)), F.lit(0)).cast("long")
     rest = [F.struct(*[quoted(x) for x in carry]).alias("rest")] if carry else []
-    base = docs.select(*rest, F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).alias("r"))
-    base = table(base.withColumn("slice", F.shiftrightunsigned("r", 52).cast("int")))
+    named = F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(quoted(c).cast("string"), F.lit("")) for c in (id_col, text_col)])
+    lot = F.conv(F.substring(F.md5(named), 1, 15), 16, 10).cast("long")  # 60 bits, which any engine can follow
+    base = docs.select(*rest, quoted(id_col).alias("id"), quoted(source_col).alias("source"), size.alias("size"), lot.alias("r"))
+    base = table(base.withColumn("slice", F.shiftright("r", 48).cast("int")))
     slices = base.groupBy("source", "slice").agg(F.sum("size").alias("n"))
     goal = targets(slices.groupBy("source").agg(F.sum("n").alias("source_size")), weights, budget, ceiling)
     ahead = F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
