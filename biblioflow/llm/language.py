@@ -15,12 +15,19 @@ from ._words import text_chunks
 #: Training texts of each language: those of smallest hash among the different texts of the labelled rows.
 TRAIN_DOCS = 400
 ORDER = 3
+#: A table of all contexts, symbols and languages is held while it has no more cells than this; beyond, only what each language has seen is.
+DENSE_CELLS = 1 << 26
+#: Cells of costs that are worked out at once from the latter.
+PIECE_CELLS = 1 << 22
 #: Contexts of full order seen so often, in any language, have a node of their own.
 MIN_COUNT = 2
 
 
 class Model:
-    """Frozen statistics of all languages as one table: costs in bits by context node, next symbol and language.
+    """Frozen statistics of all languages: costs in bits by context node, next symbol and language, as one table where it is small.
+
+    Else as trees, order by order: the languages that know a context with their escapes, and those that know a symbol after it with their costs. Their size
+    follows the training texts, however many languages there are. Both forms give the same costs.
 
     Method C: a context with t symbols seen, d of them distinct, gives a seen symbol c / (t + d) and escapes to the next
     shorter context with d / (t + d); below order 0 all 256 bytes are alike. A node is the longest context that any language knows; a language without it has the shorter context's cost.
@@ -38,15 +45,17 @@ class Model:
         self.size = s = int(used.sum()) + 1
         self.pad = int(self.symbol[10])
         grams = {lang: self._counts(group, order) for lang, group in texts.items()}
+        self.order = order if self.langs else 0
+        nodes = [self._nodes(grams, k) for k in range(self.order + 1)]
+        self.trees = None
+        if sum(map(len, nodes)) * s * len(self.langs) > DENSE_CELLS:
+            self.trees = [self._tree(grams, k, own) for k, own in enumerate(nodes)]
+            return
         cost = np.full((1, s, len(self.langs)), np.log2(256.0))  # below order 0
         cost = self._extend(cost, np.zeros(1, np.int64), grams, 0)
         index = np.zeros(1, np.int64)  # node of each context number
-        for k in range(1, order + 1 if self.langs else 0):
-            seen = np.concatenate([grams[x][k][0] // s for x in self.langs])
-            times = np.concatenate([grams[x][k][1] for x in self.langs])
-            contexts, where = np.unique(seen, return_inverse=True)
-            n = np.bincount(where, times)
-            own = contexts[n >= MIN_COUNT] if k == order else contexts
+        for k in range(1, self.order + 1):
+            own = nodes[k]
             shorter = index[own % s ** (k - 1)]
             grown = self._extend(cost[shorter], own, grams, k)
             index = index[np.arange(s**k) % s ** (k - 1)]  # contexts without a node keep the shorter one's
@@ -55,6 +64,33 @@ class Model:
         self.index = index.astype(np.int32)
         self.cost = np.ascontiguousarray(cost.reshape(len(cost) * s, len(self.langs)).astype(np.float32))
 
+    def _nodes(self, grams: dict, k: int) -> np.ndarray:
+        """Contexts of order k that any language knows; those of full order only where seen often enough."""
+        seen = np.concatenate([grams[x][k][0] // self.size for x in self.langs] or [np.zeros(0, np.int64)])
+        times = np.concatenate([grams[x][k][1] for x in self.langs] or [np.zeros(0, np.int64)])
+        contexts, where = np.unique(seen, return_inverse=True)
+        return contexts[np.bincount(where, times) >= MIN_COUNT] if k == self.order and k else contexts
+
+    def _tree(self, grams: dict, k: int, own: np.ndarray) -> tuple:
+        """Of order k: contexts and their languages' escapes, grams and their languages' costs; each as keys, offsets, languages, bits."""
+        escapes, costs = [], []
+        for i, lang in enumerate(self.langs):
+            g, c = grams[lang][k]
+            known = np.isin(g // self.size, own)
+            g, c = g[known], c[known]
+            contexts, where = np.unique(g // self.size, return_inverse=True)
+            t, d = np.bincount(where, c, len(contexts)), np.bincount(where, minlength=len(contexts))
+            escapes.append((contexts, np.full(len(contexts), i), np.log2((t + d) / d)))
+            costs.append((g, np.full(len(g), i), np.log2((t + d)[where] / c)))
+
+        def rows(parts: list) -> tuple:
+            key, lang, bits = (np.concatenate([p[j] for p in parts]) for j in range(3))
+            order = np.argsort(key, kind="stable")
+            keys, first = np.unique(key[order], return_index=True)
+            return keys, np.append(first, len(key)), lang[order].astype(np.int32), bits[order].astype(np.float32)
+
+        return rows(escapes), rows(costs)
+
     def _counts(self, group: list[bytes], order: int) -> list[tuple[np.ndarray, np.ndarray]]:
         """Distinct grams of each order (context and next symbol, as a number) and how often each occurs."""
         ids = [np.concatenate([np.full(order, self.pad), self.symbol[np.frombuffer(t, np.uint8)]]) for t in group if t]
@@ -88,7 +124,7 @@ class Model:
     def lengths(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Code length in bits of each text under each language."""
         out = np.zeros((len(offsets) - 1, len(self.langs)))
-        step = 1 << 19
+        step = 1 << 19 if self.trees is None else max(1_024, PIECE_CELLS // len(self.langs))
         ids = self.symbol[data] if len(data) <= step else None
         filled = np.flatnonzero(np.diff(offsets))
         row_of = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets)) if ids is not None else None
@@ -110,6 +146,29 @@ class Model:
         first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
         out[rows[first]] += np.add.reduceat(bits, first, axis=0, dtype=np.float64)
 
+    def _found(self, rows: tuple, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places in `asked`, languages and bits of all entries of the keys asked for."""
+        keys, first, langs, bits = rows
+        if not len(keys):
+            return np.zeros(0, np.int64), langs, bits
+        row = np.searchsorted(keys, asked)
+        row[row == len(keys)] = 0
+        at = np.flatnonzero(keys[row] == asked)
+        n = first[row[at] + 1] - first[row[at]]
+        entry = np.repeat(first[row[at]] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        return np.repeat(at, n), langs[entry], bits[entry]
+
+    def _walk(self, context: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Costs from the trees: from the shortest context on, a language that knows a context pays its escape, and one that knows the symbol too its cost."""
+        cost = np.full((len(ids), len(self.langs)), np.float32(8))
+        for k, (escapes, costs) in enumerate(self.trees):
+            own = context % self.size**k
+            at, lang, bits = self._found(escapes, own)
+            cost[at, lang] += bits
+            at, lang, bits = self._found(costs, own * self.size + ids)
+            cost[at, lang] = bits
+        return cost
+
     def _bits(self, ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
         context = np.zeros(len(ids), np.int64)
         for j in range(ORDER, 0, -1):
@@ -119,6 +178,8 @@ class Model:
                 at = starts + k
                 back[at[at < len(ids)]] = self.pad
             context = context * self.size + back
+        if self.trees is not None:
+            return self._walk(context, ids)
         return self.cost[self.index[context] * np.int64(self.size) + ids]
 
     def predict(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

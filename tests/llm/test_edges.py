@@ -151,6 +151,28 @@ def test_language_repeats_and_clashes(spark):
     assert got == ["aa"] * 30 + ["bb"] * 30 + ["und"]
 
 
+def test_language_trees_equal_the_table(monkeypatch):
+    """Both forms of the statistics; and two hundred languages, of which each has letters of its own."""
+    rng = np.random.default_rng(1)
+    words = {f"l{i}": ["".join(chr(97 + int(c)) for c in rng.integers(0, 6 + i, rng.integers(1, 6))) for _ in range(12)] for i in range(5)}
+    texts = {lang: [" ".join(rng.choice(own, 30)).encode() for _ in range(15)] for lang, own in words.items()}
+    table = language.Model(texts)
+    monkeypatch.setattr(language, "DENSE_CELLS", 0)
+    monkeypatch.setattr(language, "PIECE_CELLS", 8_000)
+    trees = language.Model(texts)
+    assert table.trees is None and trees.trees is not None
+    asked = [t for own in texts.values() for t in own[:4]] + [b"", b"unseen \xff bytes", texts["l0"][0] * 40]
+    data, offsets = np.frombuffer(b"".join(asked), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in asked])])
+    assert np.allclose(table.lengths(data, offsets), trees.lengths(data, offsets), rtol=1e-4)
+    many = {f"m{i:03}": [("".join(chr(0x4E00 + 40 * i + int(c)) for c in rng.integers(0, 40, 60))).encode() for _ in range(3)] for i in range(200)}
+    monkeypatch.setattr(language, "DENSE_CELLS", 1 << 26)
+    model = language.Model(many)
+    assert model.trees is not None and sum(x.nbytes for rows in model.trees for part in rows for x in part) < 40e6
+    asked = [own[1] for own in many.values()]
+    data, offsets = np.frombuffer(b"".join(asked), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in asked])])
+    assert [model.langs[i] for i in model.predict(data, offsets)[0]] == list(many)
+
+
 def test_aliases(spark):
     link = '<link rel="{}" href="{}">'
     pages = [
