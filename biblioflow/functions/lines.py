@@ -18,9 +18,14 @@ def any_of(c: Column, patterns) -> Column:
 
 
 def citation_signal(c: Column) -> Column:
-    """One decisive sign, or two of the weak ones."""
-    weak = sum((c.rlike(p).cast("int") for p in (X.AUTHOR_LINE, X.WORK_TITLE, X.IMPRINT_WORD, X.PAGE_COUNT_WORD, X.ROLE_WORD, X.YEAR, X.VOLUME_ISSUE_WORD, X.QUOTED)), F.lit(0))
-    return F.coalesce(any_of(c, (X.DOI_ANY, X.BRACKET, X.ARXIV_LINE, X.VENUE_LINE, X.LOCATOR_WORD)) | (weak >= X.WEAK_SIGNALS), F.lit(False))
+    """One decisive sign, or two of the weak ones. Decisive signs hold a digit, so a line without one is asked for the other weak signs only."""
+
+    def several(*patterns: str) -> Column:
+        return sum((c.rlike(p).cast("int") for p in patterns), F.lit(0)) >= X.WEAK_SIGNALS
+
+    wordy = (X.AUTHOR_LINE, X.WORK_TITLE, X.IMPRINT_WORD, X.ROLE_WORD, X.QUOTED)
+    numbered = any_of(c, (X.DOI_ANY, X.BRACKET, X.ARXIV_LINE, X.VENUE_LINE, X.LOCATOR_WORD)) | several(*wordy, X.PAGE_COUNT_WORD, X.YEAR, X.VOLUME_ISSUE_WORD)
+    return F.coalesce(F.when(c.rlike(r"(?U)\d"), numbered).otherwise(several(*wordy)), F.lit(False))
 
 
 def is_prose(c: Column) -> Column:
@@ -40,12 +45,10 @@ def is_declaration(c: Column) -> Column:
 def marked(lines: Column) -> Column:
     """array<string> to array of struct(raw, s = stripped, signal, prose)."""
 
-    def one(x: Column) -> Column:
-        s = strip(x)
-        signal = citation_signal(s)
-        return F.struct(x.alias("raw"), s.alias("s"), signal.alias("signal"), ((word_count(s) >= X.PROSE_WORDS) & ~signal).alias("prose"))
-
-    return F.transform(lines, one)
+    # a step at a time over the array, since an expression that is written twice in a lambda runs twice
+    bare = F.transform(lines, lambda x: F.struct(x.alias("raw"), strip(x).alias("s")))
+    signed = F.transform(bare, lambda x: F.struct(x["raw"].alias("raw"), x["s"].alias("s"), citation_signal(x["s"]).alias("signal")))
+    return F.transform(signed, lambda x: F.struct(x["raw"].alias("raw"), x["s"].alias("s"), x["signal"].alias("signal"), ((word_count(x["s"]) >= X.PROSE_WORDS) & ~x["signal"]).alias("prose")))
 
 
 def density(part: Column) -> Column:
