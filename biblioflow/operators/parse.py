@@ -34,9 +34,11 @@ def extract_year(c: Column) -> Column:
 
 
 def is_annotation_line(c: Column) -> Column:
-    s = strip(c)
-    cited = any_of(s, (X.YEAR, X.DOI, X.ARXIV, X.CONTRIBUTOR, X.MONOGRAPH_PAGES, "(?U)^" + X.INVERTED)) | looks_like_publisher(s)
-    return (word_count(s) >= X.ANNOTATION_LINE_WORDS) & ~cited
+    def judge(s: Column) -> Column:
+        cited = any_of(s, (X.YEAR, X.DOI, X.ARXIV, X.CONTRIBUTOR, X.MONOGRAPH_PAGES, "(?U)^" + X.INVERTED)) | looks_like_publisher(s)
+        return (word_count(s) >= X.ANNOTATION_LINE_WORDS) & ~cited
+
+    return let(strip(c), judge)
 
 
 def looks_like_publisher(c: Column) -> Column:
@@ -57,7 +59,9 @@ def split_header(c: Column) -> Column:
         return F.when(n < 2, s["block"]).when(first > 0, top(first + 1)).when(end < n, top(end)).when(long_tail, top(F.lit(3))).otherwise(s["block"])
 
     lines = lambda b: F.filter(F.split(b, "\n"), lambda x: strip(x) != "")
-    return let(block, lambda b: let(F.struct(b.alias("block"), lines(b).alias("lines"), F.transform(lines(b), is_annotation_line).alias("comment")), cut))
+    # only a block of several lines can hold commentary
+    looked_at = lambda b: let(lines(b), lambda x: let(F.struct(b.alias("block"), x.alias("lines"), F.transform(x, is_annotation_line).alias("comment")), cut))
+    return let(block, lambda b: F.when(b.contains("\n"), looked_at(b)).otherwise(b))
 
 
 def safe_sentences(c: Column) -> Column:
