@@ -5,6 +5,9 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,13 +27,41 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+_writing: ContextVar[list[str] | None] = ContextVar("writing", default=None)
+
+
+def new_path(spark: SparkSession, suffix: str = "") -> str:
+    """A path of its own in the shared folder, noted for written()."""
+    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}{suffix}"
+    if (noted := _writing.get()) is not None:
+        noted.append(path)
+    return path
+
+
 def table(df: DataFrame) -> DataFrame:
     """df written to the shared folder and read again: lineage ends there, and a lost executor costs no recomputation."""
-    path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def written() -> Iterator[list[str]]:
+    """Lists what table() and new_path() name meanwhile (in this thread), for delete()."""
+    token = _writing.set([])
+    try:
+        yield _writing.get()
+    finally:
+        _writing.reset(token)
+
+
+def delete(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes tables whose readers have been written elsewhere."""
+    for path in paths:
+        hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+        hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
 def quoted(name: str) -> Column:
     """The column of exactly this name, whatever dots or back-quotes it holds."""
     return F.col("`" + name.replace("`", "``") + "`")

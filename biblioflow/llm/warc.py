@@ -6,7 +6,6 @@ import base64
 import hashlib
 import re
 import struct
-import uuid
 from collections.abc import Iterator
 from itertools import chain
 from urllib.parse import quote, unquote
@@ -15,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import shared_dir, table
+from ._shared import new_path, table
 
 # Fixed values of the formats.
 DICTIONARY_MAGIC = 0x184D2A5D
@@ -199,6 +198,6 @@ def read(spark: SparkSession, path: str, id_type: str = "bigint") -> DataFrame:
 def round_trip(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """Archives `pages` in the shared folder and reads the archives back."""
     spark = pages.sparkSession
-    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}.warc"
+    path = new_path(spark, ".warc")
     write(pages, path, min_bytes)
     return read(spark, path, pages.schema["page_id"].dataType.simpleString())

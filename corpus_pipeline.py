@@ -96,9 +96,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        docs = docs if k == len(STAGES) - 1 else _shared.table(docs)
-    return docs
+    """All stages over documents, each written and read again. What a stage wrote on its way, and its input, are deleted once its result is written;
+    the last one's are read by the result, so they stay."""
+    docs, behind = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
+    for _, stage in STAGES[:-1]:
+        with _shared.written() as paths:
+            docs = _shared.table(stage(spark, docs, sf_dir))
+        _shared.delete(spark, behind + paths[:-1])
+        behind = paths[-1:]
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -8,7 +8,7 @@ import duckdb
 import pytest
 
 import corpus_pipeline
-from biblioflow.llm import _queries, mixing
+from biblioflow.llm import _queries, _shared, mixing
 from biblioflow.llm._shared import table
 from biblioflow.llm.simhash import fingerprint
 
@@ -121,13 +121,17 @@ def test_benchmark_filter_sees_a_short_leak_in_a_long_document(spark):
     assert sorted(r.doc_id for r in corpus_pipeline.benchmark_filter(spark, docs, SF).collect()) == [2, 3]
 
 
-def test_run_is_the_stages_in_order(spark):
+def test_run_is_the_stages_in_order(spark, monkeypatch):
     """run() against the stages one by one; each of these against brute force above."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES:
         docs = table(stage(spark, docs, SF))
     key = lambda df: sorted(repr((r.doc_id, r.text, r.source, r["size"], r.target, r.taken)) for r in df.collect())
+    made = []
+    monkeypatch.setattr(_shared, "new_path", lambda spark, suffix="", new=_shared.new_path: made.append(new(spark, suffix)) or made[-1])
     got = corpus_pipeline.run(spark, SF)
+    gone = [p for p in made if not os.path.exists(p)]
+    assert set(gone) == set(made[:-4]) and len(gone) >= 5  # the last stage and its input stay
     assert got.columns == docs.columns and key(got) == key(docs)
 
 
