@@ -58,7 +58,8 @@ def main(argv: list[str] | None = None) -> int:
             for line in out.toJSON().toLocalIterator():
                 print(json.dumps(json.loads(line)))
     else:
-        ordered = good.withColumn("pos", F.struct("file_pos", "pos")) if not args.merge else deduplicate(good.withColumn("pos", F.col("file_pos") * 1_000_000 + F.col("pos")))
+        ordered = good.withColumn("pos", F.col("file_pos") * F.lit(1 << 32) + F.col("pos"))  # files in their order, entries in theirs
+        ordered = deduplicate(ordered) if args.merge else ordered
         try:
             if args.out:
                 export(ordered, args.format, args.out)
