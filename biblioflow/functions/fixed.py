@@ -54,6 +54,8 @@ STOP_WORDS = (
 
 # --- fixed values: characters ---------------------------------------------------------------------------------------------
 INVISIBLE = "\u00ad\u200b\u200c\u200d\u200e\u200f\ufeff"
+#: What \s is under (?U).
+SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 TYPOGRAPHIC = "\u2018\u2019\u201a\u201b\u201c\u201d\u201e\u201f\u2032\u2033\u2010\u2011\u2012\u2013\u2014\u2015\u2212\u00a0\u2007\u2009\u202f"
 PLAIN = "'" * 4 + '"' * 4 + "'" + '"' + "-" * 7 + " " * 4
 
