@@ -107,20 +107,23 @@ def extract_title(body: Column, rest: Column, region: Column) -> Column:
     shout = strip(matched(body, X.CAPITALS))
     sentences = F.filter(safe_sentences(rest), lambda s: F.char_length(s) > 10)
     longest = lambda a: F.filter(a, lambda s: F.char_length(s) == F.array_max(F.transform(a, F.char_length)))
-    candidates = F.concat(
-        F.array(
-            matched(body, r'"([^"]{4,300})"'),
-            _before(rest, X.VENUE_TAIL),
-            _before(rest, X.ARXIV),
-            _sentence_after(body, X.YEAR_PAREN + r"\.?\s*"),
-            _sentence_after(body, r"(?U)[.,]\s*(?:19|20)\d{2}[a-z]?\.\s+"),
-            F.when(~shout.rlike(X.CAPITALS_IMPRINT), shout),
-        ),
-        let(sentences, lambda a: F.array(F.try_element_at(a, F.lit(1)), F.try_element_at(longest(a), F.lit(1)))),
+    marked = F.array(
+        matched(body, r'"([^"]{4,300})"'),
+        _before(rest, X.VENUE_TAIL),
+        _before(rest, X.ARXIV),
+        _sentence_after(body, X.YEAR_PAREN + r"\.?\s*"),
+        _sentence_after(body, r"(?U)[.,]\s*(?:19|20)\d{2}[a-z]?\.\s+"),
+        F.when(~shout.rlike(X.CAPITALS_IMPRINT), shout),
     )
+    spoken = let(sentences, lambda a: F.array(F.try_element_at(a, F.lit(1)), F.try_element_at(longest(a), F.lit(1))))
     clean = lambda x: strip(strip(tidy_field(strip(x, " ,.;")), '"'))
-    ok = F.filter(F.transform(F.filter(candidates, lambda x: x.isNotNull()), clean), lambda x: is_plausible_title(x, region))
-    return present(F.try_element_at(ok, F.lit(1)))
+
+    def first(candidates: Column) -> Column:
+        """Cleaned and judged one by one until one will do, which is dear; null where none does."""
+        judge = lambda x: F.when(x.isNotNull(), let(clean(x), lambda y: F.when(is_plausible_title(y, region), y)))
+        return F.aggregate(candidates, F.lit(None).cast("string"), lambda found, x: F.coalesce(found, judge(x)))
+
+    return F.coalesce(first(marked), first(spoken), F.lit(""))
 
 
 def _after_title(c: Column, title: Column) -> Column:
@@ -130,8 +133,10 @@ def _after_title(c: Column, title: Column) -> Column:
 
 def extract_journal(header: Column, title: Column, rest: Column) -> Column:
     named = tidy_field(F.rtrim(strip(extract(rest, X.VENUE_TAIL, 1)), F.lit(",")), 120)
-    space = _after_title(header, title)
-    clean = F.transform(F.filter(F.array(*[matched(space, p) for p in X.JOURNALS]), lambda x: x.isNotNull()), lambda x: tidy_field(x, 120))
+    leading, labelled, inside = X.JOURNALS
+    # the labelled form tries every letter of the text as a start, so its end is looked for first
+    found = lambda s: F.array(matched(s, leading), F.when(s.rlike(r"(?iuU),\s*vol\.?\s*\d"), matched(s, labelled)), matched(s, inside))
+    clean = F.transform(F.filter(let(_after_title(header, title), found), lambda x: x.isNotNull()), lambda x: tidy_field(x, 120))
     fits = lambda x: (F.char_length(x) >= 4) & ~x.rlike(X.LOCATOR_ONLY) & ~((title != "") & F.contains(F.lower(title), F.lower(x))) & ~looks_like_publisher(x)
     fallback = present(F.try_element_at(F.filter(clean, fits), F.lit(1)))
     return let(named, lambda x: F.when((F.char_length(x) >= 3) & ~looks_like_publisher(x), x).otherwise(fallback))
@@ -146,8 +151,9 @@ def extract_locators(header: Column, rest: Column) -> Column:
     """struct(volume, issue, pages)"""
 
     def find(m: Column) -> Column:
-        no_years = F.regexp_replace(m, X.YEAR_PAREN, " ")
-        bare = extract(no_years, X.BARE_VOLUME, 1)
+        return let(F.regexp_replace(m, X.YEAR_PAREN, " "), lambda x: let(extract(x, X.BARE_VOLUME, 1), lambda bare: gather(m, x, bare)))
+
+    def gather(m: Column, no_years: Column, bare: Column) -> Column:
         bare_ok = (bare != "") & ~((F.char_length(bare) == 4) & F.try_to_number(bare, F.lit("9999")).between(1000, 2100))
         volume = _first(extract(rest, X.VENUE_TAIL, 2), extract(m, X.VOLUME_LABEL, 1), extract(no_years, X.VOLUME_ISSUE, 1))
         issue = _first(extract(m, X.ISSUE_LABEL, 1), extract(no_years, X.VOLUME_ISSUE, 2))
@@ -176,8 +182,7 @@ def _page_range(m: Column) -> Column:
 
 
 def extract_publisher(header: Column, title: Column) -> Column:
-    space = _after_title(header, title)
-    clean = F.transform(F.filter(F.array(*[matched(space, p) for p in X.PUBLISHERS]), lambda x: x.isNotNull()), lambda x: tidy_field(x, 80))
+    clean = F.transform(F.filter(let(_after_title(header, title), lambda s: F.array(*[matched(s, p) for p in X.PUBLISHERS])), lambda x: x.isNotNull()), lambda x: tidy_field(x, 80))
     fits = lambda x: (F.char_length(x) > 2) & ~((title != "") & F.contains(F.lower(title), F.lower(x)))
     return present(F.try_element_at(F.filter(clean, fits), F.lit(1)))
 
