@@ -24,7 +24,7 @@ def citation_signal(c: Column) -> Column:
         return sum((c.rlike(p).cast("int") for p in patterns), F.lit(0)) >= X.WEAK_SIGNALS
 
     wordy = (X.AUTHOR_LINE, X.WORK_TITLE, X.IMPRINT_WORD, X.ROLE_WORD, X.QUOTED)
-    numbered = any_of(c, (X.DOI_ANY, X.BRACKET, X.ARXIV_LINE, X.VENUE_LINE, X.LOCATOR_WORD)) | several(*wordy, X.PAGE_COUNT_WORD, X.YEAR, X.VOLUME_ISSUE_WORD)
+    numbered = any_of(c, (X.DOI_ANY, X.BRACKET, X.ARXIV_LINE, X.VENUE_LINE, X.LOCATOR_WORD)) | several(*wordy, X.PAGE_COUNT_WORD, X.YEAR_WORD, X.VOLUME_ISSUE_WORD)
     return F.coalesce(F.when(c.rlike(r"(?U)\d"), numbered).otherwise(several(*wordy)), F.lit(False))
 
 
