@@ -10,7 +10,7 @@ from ..functions.derive import names, needs_review
 MEASURED = ("title", "authors", "year", "journal", "volume", "issue", "pages", "doi", "publisher")
 
 
-def document_summary(citations: DataFrame, by: str = "doc_id", accepted_col: str = "accepted") -> DataFrame:
+def document_summary(citations: DataFrame, by: str | list[str] = "doc_id", accepted_col: str = "accepted") -> DataFrame:
     """Per document: citation_count, discarded_count, segment_count, average_confidence, flagged."""
     ok = F.col(accepted_col)
     return citations.groupBy(by).agg(
