@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed as X
@@ -65,11 +65,40 @@ def with_summary(characterised: DataFrame, cited: DataFrame, keys: list[str], op
     df = characterised.join(counts, keys, "left").withColumns({"citation_count": F.coalesce("citation_count", F.lit(0)), "discarded_count": F.coalesce("discarded_count", F.lit(0))})
     if not options.build_summary:
         return df.withColumn("summary", F.lit(""))
-    body = F.coalesce(F.nullif(F.col("detection.body_text"), F.lit("")), F.col("raw_text"))
-    df = summarize(step(df, __body=body), "__body", options.summary_sentences, "__s").drop("__body")
-    kind = F.col("detection.kind")
+    df = df.withColumns({"__kind": F.col("detection.kind"), "__body": _summary_body()})
+    return _summarized(df, options).drop("__kind", "__body")
+
+
+def _is_list(kind: Column) -> Column:
+    return kind.isin("bibliography", "annotated_bibliography")
+
+
+def _summary_body() -> Column:
+    """The text to summarise: none where the document is a list itself, which is described instead."""
+    text = F.coalesce(F.nullif(F.col("detection.body_text"), F.lit("")), F.col("raw_text"))
+    return F.when(F.coalesce(_is_list(F.col("detection.kind")), F.lit(False)), "").otherwise(text)
+
+
+def _summarized(df: DataFrame, options: Options) -> DataFrame:
+    """Adds the summary of __body, or a description by __kind and citation_count."""
+    kind = F.col("__kind")
     described = describe_reference_list(F.col("citation_count"), label(kind, X.KIND_LABELS))
-    return df.withColumn("summary", F.when(kind.isin("bibliography", "annotated_bibliography"), described).otherwise(F.col("__s"))).drop("__s")
+    return summarize(df, "__body", options.summary_sentences, "__s").withColumn("summary", F.when(_is_list(kind), described).otherwise(F.col("__s"))).drop("__s")
+
+
+def summaries(characterised: DataFrame, keys: list[str], options: Options = Options()) -> DataFrame:  # noqa: B008
+    """keys, kind, citation_count, discarded_count and summary of every document, in one pass where with_summary() joins two: what a document needs
+    goes with the first of its entries (a document without any has one of no text, which isn't counted), and meets their counts in one grouping."""
+    entries = F.when(F.size("entries") > 0, F.col("entries")).otherwise(F.array(F.lit("")))
+    rows = characterised.select(*keys, "style", F.struct("detection", "raw_text").alias("__own"), F.posexplode(entries).alias("__at", "__entry"))
+    rows = rows.select(*keys, "style", F.when(F.col("__at") == 0, F.col("__own")).alias("own"), F.array("__entry").alias("entries"))
+    cited = citations(rows, [*keys, "own"]).where(F.col("own").isNotNull() | (F.col("raw_text") != ""))
+    real = F.col("raw_text") != ""
+    counts = cited.groupBy(*keys).agg(F.count_if(F.col("accepted") & real).alias("citation_count"), F.count_if(~F.col("accepted") & real).alias("discarded_count"), F.first("own", ignorenulls=True).alias("own"))
+    df = counts.select(*keys, F.col("own.detection").alias("detection"), F.col("own.raw_text").alias("raw_text"), "citation_count", "discarded_count")
+    df = df.select(*keys, F.col("detection.kind").alias("__kind"), _summary_body().alias("__body"), "citation_count", "discarded_count")
+    df = _summarized(df, options) if options.build_summary else df.withColumn("summary", F.lit(""))
+    return df.select(*keys, F.col("__kind").alias("kind"), "citation_count", "discarded_count", "summary")
 
 
 def parse_pasted(pasted: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
