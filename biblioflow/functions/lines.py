@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import fixed as X
-from .text import strip, word_count
+from .text import let, strip, word_count
 
 LINE = "struct<raw:string,s:string,signal:boolean,prose:boolean>"
 
@@ -18,18 +18,32 @@ def any_of(c: Column, patterns) -> Column:
 
 
 def citation_signal(c: Column) -> Column:
-    """One decisive sign, or two of the weak ones. Decisive signs hold a digit, so a line without one is asked for the other weak signs only."""
+    """One decisive sign, or two of the weak ones. Decisive signs hold a digit, so a line without one is asked for the other weak signs only.
 
-    def several(*patterns: str) -> Column:
-        return sum((c.rlike(p).cast("int") for p in patterns), F.lit(0)) >= X.WEAK_SIGNALS
+    Weak signs are looked for where a part that they can't do without is found, and only if two such parts are: most prose is settled by plain searches.
+    The parts hold no s or i, whose forms beyond ASCII (?iu) takes for them and lower() doesn't.
+    """
 
-    wordy = (X.AUTHOR_LINE, X.WORK_TITLE, X.IMPRINT_WORD, X.ROLE_WORD, X.QUOTED)
-    numbered = any_of(c, (X.DOI_ANY, X.BRACKET, X.ARXIV_LINE, X.VENUE_LINE, X.LOCATOR_WORD)) | several(*wordy, X.PAGE_COUNT_WORD, X.YEAR_WORD, X.VOLUME_ISSUE_WORD)
-    return F.coalesce(F.when(c.rlike(r"(?U)\d"), numbered).otherwise(several(*wordy)), F.lit(False))
+    def several(low: Column, *more: str) -> Column:
+        has = lambda *parts: reduce(lambda a, b: a | b, [low.contains(p) for p in parts])
+        signs = ((X.WORK_TITLE, has(".", ":")), (X.AUTHOR_LINE, has(",")), (X.QUOTED, has('"')), (X.ROLE_WORD, has("by")), (X.IMPRINT_WORD, has("pre", "publ", "book", "verlag", "co.", "nc.", "ltd.")))
+        count = lambda found: reduce(lambda a, b: a + b, [x.cast("int") for x in found]) >= X.WEAK_SIGNALS
+        if more:
+            return count([*[part & c.rlike(p) for p, part in signs], *[c.rlike(p) for p in more]])
+        return count([part for _, part in signs]) & count([part & c.rlike(p) for p, part in signs])
+
+    decisive = any_of(c, (X.DOI_ANY, X.BRACKET, X.ARXIV_LINE, X.VENUE_LINE, X.LOCATOR_WORD))
+    numbered = decisive | let(F.lower(c), lambda low: several(low, X.PAGE_COUNT_WORD, X.YEAR_WORD, X.VOLUME_ISSUE_WORD))
+    return F.coalesce(F.when(c.rlike(r"(?U)\d"), numbered).otherwise(let(F.lower(c), lambda low: several(low))), F.lit(False))
+
+
+def wordy(c: Column) -> Column:
+    """Whether a line has PROSE_WORDS words at least; reads no further than the last of them."""
+    return c.rlike(rf"(?U)^\s*+(?:\S++\s++){{{X.PROSE_WORDS - 1}}}\S")
 
 
 def is_prose(c: Column) -> Column:
-    return (word_count(c) >= X.PROSE_WORDS) & ~citation_signal(c)
+    return wordy(c) & ~citation_signal(c)
 
 
 def is_contents_line(c: Column) -> Column:
@@ -48,7 +62,7 @@ def marked(lines: Column) -> Column:
     # a step at a time over the array, since an expression that is written twice in a lambda runs twice
     bare = F.transform(lines, lambda x: F.struct(x.alias("raw"), strip(x).alias("s")))
     signed = F.transform(bare, lambda x: F.struct(x["raw"].alias("raw"), x["s"].alias("s"), citation_signal(x["s"]).alias("signal")))
-    return F.transform(signed, lambda x: F.struct(x["raw"].alias("raw"), x["s"].alias("s"), x["signal"].alias("signal"), ((word_count(x["s"]) >= X.PROSE_WORDS) & ~x["signal"]).alias("prose")))
+    return F.transform(signed, lambda x: F.struct(x["raw"].alias("raw"), x["s"].alias("s"), x["signal"].alias("signal"), (wordy(x["s"]) & ~x["signal"]).alias("prose")))
 
 
 def density(part: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed as X
 from ..functions.lines import block_end, citation_signal, dense_start, density, is_declaration, marked
-from ..functions.text import let, present, squeeze, step, strip, word_count
+from ..functions.text import let, present, step, strip, word_count
 
 MARK = "\x01"
 
@@ -26,7 +26,7 @@ def match_lines(text: Column, *patterns: str) -> Column:
     out = F.array().cast("array<int>")
     for p in patterns:
         pieces = F.split(F.regexp_replace(text, p, "$0" + MARK), MARK)
-        sizes = let(pieces, lambda x: F.struct(F.transform(x, newlines).alias("all"), F.transform(x, lambda y: newlines(F.regexp_extract(y, r"(?U)\s+$", 0))).alias("tail")))
+        sizes = let(pieces, lambda x: F.struct(F.transform(x, newlines).alias("all"), F.transform(x, lambda y: newlines(y) - newlines(F.rtrim(y, F.lit(X.SPACES)))).alias("tail")))
         out = F.array_union(out, F.when(text.rlike(p), let(sizes, upto)).otherwise(F.array()).cast("array<int>"))
     return F.array_sort(out)
 
@@ -149,7 +149,7 @@ def detect(docs: DataFrame, text_col: str = "text", force_parse: bool = False, f
     dense = result(found, strip(_raw(_part(lines, F.lit(0), F.col("__k")))), "density_scan", F.when(looks_annotated(found), "annotated_bibliography").when(share(found) >= X.REFERENCE_ONLY, "bibliography").otherwise("research_paper"), F.least(F.lit(0.85), level), note("No references heading was present, so the reference block was located by citation density (", F.round(level * 100).cast("int").cast("string"), "% of its lines)."))
     none = result(empty, body_of, "none", "non_academic", 0.0, note("No references heading and no dense block of citations were found."))
 
-    out = F.when(squeeze(F.col(t)) == "", blank).when(F.size(regions) > 0, headed).when(titled_ok, titled).when(dense_ok, dense).otherwise(none)
+    out = F.when(body_of == "", blank).when(F.size(regions) > 0, headed).when(titled_ok, titled).when(dense_ok, dense).otherwise(none)
     return step(df, detection=out).drop(t, "__l", "__n", "__h", "__b", "__d", "__r0", "__r", "__a", "__tail", "__s", "__c", "__k")
 
 

@@ -21,3 +21,8 @@ def test_one_pass_says_what_the_join_says(spark):
     got = summaries(base, ["doc"]).select(*columns)
     rows = sorted(want.collect())
     assert sorted(got.collect()) == rows and len(rows) == len(texts) and {r.kind for r in rows} >= {"bibliography", "research_paper", "non_academic", "unknown"}
+
+
+def test_modes_without_an_override_share_a_plan(spark):
+    plan = queries.QUERIES["detect_modes"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().analyzed().toString()
+    assert plan.count("Relation [") == 3

@@ -40,3 +40,23 @@ def test_titles_are_those_of_the_plain_pattern(spark):
 def test_numbers_and_keys_that_cite_nothing(spark, line, signal):
     df = spark.createDataFrame([(line,)], "s string")
     assert df.select(citation_signal(F.col("s"))).first()[0] is signal
+
+
+def test_signals_are_those_of_all_patterns(spark):
+    """Weak signs are looked for only where their necessary parts are; that must change nothing, whatever the case or the form of letters."""
+    import random
+
+    from biblioflow.functions.lines import any_of, is_prose
+
+    rng = random.Random(8)
+    pieces = ["Abbot", "Obi, S", "de la Cruz, M", "The", "the", "of", "Press", "preſſ", "PUBLİSHING", "publıshers", "bookſ", "booKs", "Verlag", "Co.", "inc.", "İnc.", "Ltd.", "Edited", "ed.", "Eds.", "Trans.", "ıllus.", "illuſtrated", "by", "BY", '"quoted text"', '"a1b2c3d4"', '"', ",", ".", ":", " ", " ", "12 pp.", "1999", "4 (5)", "٣", "é"]
+    lines = [rng.choice([" ", " ", ""]).join(rng.choices(pieces, k=rng.randint(1, 12))) for _ in range(12_000)] + ["", None]
+    s = F.col("s")
+    weak = lambda *p: sum((s.rlike(x).cast("int") for x in p), F.lit(0)) >= X.WEAK_SIGNALS
+    five = (X.AUTHOR_LINE, X.WORK_TITLE, X.IMPRINT_WORD, X.ROLE_WORD, X.QUOTED)
+    decisive = any_of(s, (X.DOI_ANY, X.BRACKET, X.ARXIV_LINE, X.VENUE_LINE, X.LOCATOR_WORD))
+    plain = F.coalesce(F.when(s.rlike(r"(?U)\d"), decisive | weak(*five, X.PAGE_COUNT_WORD, X.YEAR_WORD, X.VOLUME_ISSUE_WORD)).otherwise(weak(*five)), F.lit(False))
+    words = F.size(F.filter(F.split(s, r"(?U)\s+"), lambda w: w != ""))
+    df = spark.createDataFrame([(x,) for x in lines], "s string").select("s", citation_signal(s).alias("a"), plain.alias("b"), is_prose(s).alias("p"), ((words >= X.PROSE_WORDS) & ~plain).alias("q"))
+    rows = df.collect()
+    assert [r for r in rows if r.a != r.b or (r.p or False) != (r.q or False)] == [] and 500 < sum(r.b for r in rows) < 11_500
